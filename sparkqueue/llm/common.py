@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,22 +72,20 @@ def documents_only(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(c) if c in docs.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut each batch so that a piece has few rows or few bytes of ``text`` (one row at least)."""
-    for batch in batches:
-        lengths = np.asarray(pa.compute.binary_length(batch.column("text")).fill_null(0), dtype=np.int64)
-        ends = np.cumsum(lengths)
-        at = 0
-        while at < batch.num_rows:
-            before = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
-            yield batch.slice(at, to - at)
-            at = to
+def text_batches(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that a piece has at most so many bytes of ``text``, or one row."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text")).fill_null(0), dtype=np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of a string column, and where each row starts (one more entry at the end)."""
-    column = pa.compute.fill_null(column, "")
+    column = pc.fill_null(column, "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
@@ -188,7 +187,10 @@ def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
-    """Partitions that follow the plan's size estimate; the session's shuffle setting at least."""
+    """Partitions that follow the plan's size estimate; the session's shuffle setting at least.
+
+    A plan over no files has no estimate (Spark says 2**63 - 1 bytes, or a product with that).
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1_000_000, -(-size // bytes_each)))
+    return least if size >= 1 << 60 else max(least, -(-size // bytes_each))

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkqueue.llm import common
+from sparkqueue.llm.fingerprints import document_fingerprints
+from sparkqueue.llm.language_id import fit_language_filters, held_out, identify_languages
+from sparkqueue.llm.quality import fit_quality, score_quality
+from sparkqueue.llm.sharding import shard_documents
 from sparkqueue.llm.token_counts import token_counts
 from sparkqueue.llm.token_files import token_files
 
@@ -15,9 +19,29 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    net = fit_quality(docs, labels, ~held_out(5, 0))
+    return score_quality(docs, net).select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    filters = fit_language_filters(docs.where(~held_out(4, 2)))
+    return identify_languages(docs, filters).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(common.table(spark, sf_dir, "documents"), shards=24)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op9_token_counts)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality, op6_language_id, op8_sharding, op9_token_counts, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}

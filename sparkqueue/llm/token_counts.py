@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, table_size
         for batch in batches:
             texts = batch.column("text")
             tokens = np.fromiter((table.count(t) for t in texts.to_pylist()), np.int64, batch.num_rows)
-            n_bytes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64())
+            n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return rows.mapInArrow(count, SCHEMA)

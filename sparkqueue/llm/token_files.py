@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,8 +112,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
                     lengths.append(len(found) // width + 1)
                     stream.write(found + end)
                 column = batch.column("doc_id")
-                ids.append(pa.compute.fill_null(column, 0).to_numpy(zero_copy_only=False).astype("<i8"))
-                nulls.append(pa.compute.is_null(column).to_numpy(zero_copy_only=False).astype("u1"))
+                ids.append(pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype("<i8"))
+                nulls.append(pc.is_null(column).to_numpy(zero_copy_only=False).astype("u1"))
         finally:
             if out is not None:
                 out.__exit__(None, None, None)
