@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparkqueue.llm import common
 from sparkqueue.llm.fingerprints import document_fingerprints
 from sparkqueue.llm.language_id import fit_language_filters, held_out, identify_languages
+from sparkqueue.llm.near_duplicates import near_duplicates
 from sparkqueue.llm.quality import fit_quality, score_quality
 from sparkqueue.llm.sharding import shard_documents
 from sparkqueue.llm.token_counts import token_counts
@@ -25,6 +26,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, net).select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(common.table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     filters = fit_language_filters(docs.where(~held_out(4, 2)))
@@ -43,5 +48,28 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality, op6_language_id, op8_sharding, op9_token_counts, op10_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality, op5_near_duplicates, op6_language_id, op8_sharding, op9_token_counts, op10_fingerprints)}
+ORACLE_SQL = {
+    "op5_near_duplicates": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s
+            FROM words
+        ), shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION
+            SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        ), least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.m AS component_id, s.doc_id = l.m AS kept
+        FROM sets s JOIN least l ON s.doc_id = l.a
+    """,
+}
