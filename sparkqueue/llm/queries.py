@@ -56,7 +56,7 @@ ORACLE_SQL = {
             FROM documents
         ), sets AS (
             SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
             FROM words
         ), shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets),
         links AS (
