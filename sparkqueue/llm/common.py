@@ -72,7 +72,7 @@ def documents_only(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(c) if c in docs.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns))
 
 
-def text_batches(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_batches(batch: pa.RecordBatch, most_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a piece has at most so many bytes of ``text``, or one row."""
     ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text")).fill_null(0), dtype=np.int64))
     at = 0
@@ -133,7 +133,7 @@ def powers(p: int, n: int) -> np.ndarray:
     return _powers(p, 1 << max(16, int(n).bit_length()))[:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, starts: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of every row, as 64-bit hashes of their bytes.
 
     Returns the hashes, each word's first byte and end, and per row the index of its first word
@@ -142,7 +142,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(data)
     if n == 0:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     new_row = np.zeros(n + 1, bool)
     new_row[starts[:-1][starts[:-1] < n]] = True
     begins = inside.copy()

@@ -209,6 +209,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     with a null doc_id shares the component of an equal set with a doc_id; else its component is
     null and it is kept. Repeated rows all come back. Other columns are not read.
     """
+    return _judged(docs, words, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "kept")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, with all its columns: that with the least doc_id.
+
+    Rows that repeat in doc_id and text count as one. Other rules as in :func:`near_duplicates`.
+    """
+    kept = _judged(docs, words, percent).where("kept").groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("times"))
+    kept = common.written(kept.select(F.col("doc_id").alias("_doc_id"), F.col("tie").alias("_tie"), "times"), "kept")
+    marked = docs.withColumn("_text", F.xxhash64("text"))
+    out = marked.join(kept.drop("times"), marked["doc_id"].eqNullSafe(kept["_doc_id"]) & (marked["_text"] == kept["_tie"]), "left_semi")
+    if kept.where("times > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "_text"])
+    return out.drop("_text")
+
+
+def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     common.bounded_batches(docs.sparkSession)
     rows = common.written(sketched(docs, words), "sketches")
     found = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -250,4 +268,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     final = classes.select("digest", "cls").join(components.withColumnRenamed("vertex", "cls"), "cls", "left")
     final = common.written(final.select("digest", F.coalesce("component", "cls").alias("found")), "class-components")
     component = F.coalesce("found", "doc_id")
-    return rows.join(final, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return rows.join(final, "digest", "left").select("doc_id", "tie", "n", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
