@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,12 @@ class UnitIds(dict):
         return b"".join(map(self.__getitem__, UNITS.findall(text)))
 
 
+@lru_cache(maxsize=2)
+def worker_units(tokenizer_file: str, dtype: str) -> UnitIds:
+    """One cache for all tasks of a Python worker; what it holds changes no result."""
+    return UnitIds(tokenizer_file, dtype)
+
+
 def id_type(tokenizer_file: str, end_id: int) -> str:
     from tokenizers import Tokenizer
 
@@ -104,7 +111,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
         try:
             for batch in batches:
                 if batch.num_rows and stream is None:
-                    units = UnitIds(tokenizer_file, dtype)
+                    units = worker_units(tokenizer_file, dtype)
                     out = files.writing(f"{folder}/{prefix}.tokens")
                     stream = out.__enter__()
                 for text in batch.column("text").to_pylist():
