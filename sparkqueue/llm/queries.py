@@ -13,6 +13,7 @@ from sparkqueue.llm.language_id import fit_language_filters, held_out, identify_
 from sparkqueue.llm.mixing import Mix, mix_sql, mixed
 from sparkqueue.llm.near_duplicates import near_duplicates
 from sparkqueue.llm.quality import fit_quality, score_quality
+from sparkqueue.llm.repeats import without_repeats
 from sparkqueue.llm.sharding import shard_documents
 from sparkqueue.llm.token_counts import token_counts
 from sparkqueue.llm.token_files import token_files
@@ -55,6 +56,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, filters).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(common.table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(common.table(spark, sf_dir, "documents"), shards=24)
 
@@ -67,7 +72,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality, op3_decontamination, op4_mixing, op5_near_duplicates, op6_language_id, op8_sharding, op9_token_counts, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_quality, op3_decontamination, op4_mixing, op5_near_duplicates, op6_language_id, op7_repeats, op8_sharding, op9_token_counts, op10_fingerprints)}
 ORACLE_SQL = {
     "op4_mixing": mix_sql(MIX),
     "op5_near_duplicates": r"""
