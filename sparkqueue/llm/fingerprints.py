@@ -96,7 +96,7 @@ def in_next_order(docs: DataFrame) -> tuple[DataFrame, int]:
     n = common.partitions_for(docs)
     least = -(1 << 63)
     rows = common.documents_only(docs, "doc_id", "text").withColumn("place", F.coalesce("doc_id", F.lit(least)))
-    bounds = sorted(set(rows.select(F.col("place").cast("double")).approxQuantile("place", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    bounds = sorted(set(rows.select(F.col("place").cast("double")).approxQuantile("place", [i / n for i in range(1, n)], max(0.1 / n, 1e-6)))) if n > 1 else []
     bounds = [int(b) for b in bounds]
     # The number of bounds at or below: first among every step-th bound, then among that stretch.
     step = max(1, int(len(bounds) ** 0.5))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkqueue.llm import common
@@ -88,8 +88,9 @@ class LanguageFilters:
         return names, score
 
 
-def held_out(modulus: int, remainder: int):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether a document is in the fold that nothing is learned from; one without an id is."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
 def fit_language_filters(train: DataFrame, per_language: int = 400, longest: int = 1 << 20, most: int = 20_000) -> LanguageFilters:

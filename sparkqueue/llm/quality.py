@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkqueue.llm import common
@@ -144,7 +144,7 @@ class Constant:
         return np.full(len(starts) - 1, self.value)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, train: F.Column, sample: int = 3000, longest: int = 1 << 17) -> ByteNet | Constant:
+def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 3000, longest: int = 1 << 17) -> ByteNet | Constant:
     """Learn from ``sample`` labelled rows, the bound on what the driver holds.
 
     They are those with the smallest hashes of doc_id among labels that ``train`` (a condition on

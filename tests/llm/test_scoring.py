@@ -98,6 +98,7 @@ def test_quality_edge_cases(spark, awkward, no_rows, tables):
 
 def test_held_out_fold_is_that_of_crc32(spark):
     got = spark.range(-3, 50).select(F.col("id").alias("doc_id")).withColumn("h", held_out(4, 2)).collect()
+    assert spark.sql("select cast(null as long) as doc_id").select(held_out(4, 2)).first()[0] is True
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
 
 
