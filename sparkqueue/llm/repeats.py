@@ -44,8 +44,10 @@ HALF = THRESHOLD // 2
 #: Bytes that are hashed at once; a longer document is taken in overlapping stretches.
 STRETCH = 1 << 18
 NO_ID = np.iinfo(np.int64).max
-SENT = "part int, block int, ranks binary, more binary"
-ANSWER = "part int, block int, codes binary"
+#: Strings that round 3 ranks at once; a block has as many groups of them as it needs.
+STRINGS_AT_ONCE = 1_000_000
+SENT = "part int, block int, sub int, ranks binary, more binary"
+ANSWER = "part int, block int, sub int, codes binary"
 
 
 class Hashes:
@@ -94,7 +96,7 @@ def runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class Block:
     """The documents of one file, and what the rounds so far say of them."""
 
-    def __init__(self, uri: str, parts: int):
+    def __init__(self, uri: str, parts: int, at_once: int = STRINGS_AT_ONCE):
         path = files.local_path(uri)
         if path is None:
             from pyarrow import fs
@@ -103,7 +105,7 @@ class Block:
             table = pq.read_table(path, filesystem=store, columns=["doc_id", "text"])
         else:
             table = pq.read_table(path, columns=["doc_id", "text"])
-        self.parts = parts
+        self.parts, self.at_once = parts, at_once
         self.ids = table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())
         self.order = self.ids.fill_null(NO_ID).to_numpy().astype(np.int64)
         text = table.column("text").cast(pa.large_string())
@@ -135,30 +137,30 @@ class Block:
 
     # Round 1: anchors' ranks.
 
-    def anchors(self) -> Iterator[tuple[int, bytes, bytes]]:
+    def anchors(self) -> Iterator[tuple[int, int, bytes, bytes]]:
         order = np.argsort(self.gram, kind="stable")
         ranks, doc = self.gram[order], self.doc[order]
         self.known, new = np.unique(ranks, return_index=True)
         if len(new):
             several = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
             for part, a, b in self.cut(self.known >> U64(32)):
-                yield part, self.known[a:b].astype("<u4").tobytes(), np.packbits(several[a:b]).tobytes()
+                yield part, 0, self.known[a:b].astype("<u4").tobytes(), np.packbits(several[a:b]).tobytes()
 
     def cut(self, part: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Stretches of equal, ascending ``part``."""
         there, new = np.unique(part, return_index=True)
         yield from zip(there.tolist(), new.tolist(), [*new[1:].tolist(), *[len(part)] * (len(part) > 0)], strict=True)
 
-    def keep(self, codes: dict[int, bytes]) -> None:
+    def keep(self, codes: dict[tuple[int, int], bytes]) -> None:
         """Drop the anchors that lie in one document."""
         stays = np.zeros(len(self.known), bool)
         for part, a, b in self.cut(self.known >> U64(32)):
-            stays[a:b] = np.unpackbits(np.frombuffer(codes[part], np.uint8), count=b - a)
+            stays[a:b] = np.unpackbits(np.frombuffer(codes[0, part], np.uint8), count=b - a)
         self.left = np.flatnonzero(stays[np.searchsorted(self.known, self.gram)]) if len(self.known) else np.zeros(0, np.int64)
 
     # Round 2: runs' ranks.
 
-    def run_ranks(self) -> Iterator[tuple[int, bytes, bytes]]:
+    def run_ranks(self) -> Iterator[tuple[int, int, bytes, bytes]]:
         gram, whole, doc = self.gram[self.left], self.whole[self.left], self.doc[self.left]
         order = np.lexsort((doc, whole, gram))
         new = np.ones(len(order), bool)
@@ -169,11 +171,11 @@ class Block:
         self.entry_doc = doc[head]
         self.entry_part = gram[head] >> U64(32)
         for part, a, b in self.cut(self.entry_part):
-            yield part, gram[head[a:b]].astype("<u4").tobytes(), whole[head[a:b]].tobytes() + self.entry_doc[a:b].tobytes()
+            yield part, 0, gram[head[a:b]].astype("<u4").tobytes(), whole[head[a:b]].tobytes() + self.entry_doc[a:b].tobytes()
 
-    def settle(self, codes: dict[int, bytes]) -> None:
+    def settle(self, codes: dict[tuple[int, int], bytes]) -> None:
         """Which runs go as a whole, and which stay open."""
-        code = np.concatenate([np.frombuffer(codes[p], np.uint8) for p, _, _ in self.cut(self.entry_part)]) if len(self.entry_part) else np.zeros(0, np.uint8)
+        code = np.concatenate([np.frombuffer(codes[0, p], np.uint8) for p, _, _ in self.cut(self.entry_part)]) if len(self.entry_part) else np.zeros(0, np.uint8)
         own = code[self.entry]
         later = self.doc[self.left] > self.entry_doc[self.entry]
         self.gone = self.left[later | (own == GONE)]
@@ -181,42 +183,76 @@ class Block:
 
     # Round 3: strings' ranks, each the pair of its halves' ranks.
 
-    def string_ranks(self) -> Iterator[tuple[int, bytes, bytes]]:
-        ranks, self.at = [], []
+    def strings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The strings of the open runs, in groups of bounded size: place and rank."""
+        held, many = [], 0
         for a, b, _ in self.pieces():
             # The stretches overlap, but the runs of each are its own: they start before the next.
             own = self.open[(self.first[self.open] >= a) & (self.first[self.open] < (b if b - a <= STRETCH else a + STRETCH))]
-            if len(own):
-                hashes = Hashes(self.data[a:b])
-                many = self.count[own]
-                at = np.repeat(self.first[own] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) - a
-                with np.errstate(over="ignore"):
-                    ranks.append(common.mix64(hashes.at(at, at + HALF) * U64(0x9FB21C651E98DF25) + hashes.at(at + HALF, at + THRESHOLD)))
-                self.at.append(at + a)
-        rank = np.concatenate(ranks) if ranks else np.zeros(0, U64)
-        self.at = np.concatenate(self.at) if self.at else np.zeros(0, np.int64)
-        self.at_doc = self.order[np.searchsorted(self.starts, self.at, "right") - 1]
-        order = np.argsort(rank, kind="stable")
-        self.strings, new = np.unique(rank[order], return_index=True)
-        self.string_of = np.searchsorted(self.strings, rank)
-        if len(new):
-            self.string_doc = np.minimum.reduceat(self.at_doc[order], new)
-            for part, a, b in self.cut(self.part_of(self.strings)):
-                yield part, self.strings[a:b].tobytes(), self.string_doc[a:b].tobytes()
-
-    def removed(self, codes: dict[int, bytes]) -> np.ndarray:
-        """For each byte, whether it goes."""
-        edge = np.zeros(len(self.data) + 1, np.int64)
-        np.add.at(edge, self.first[self.gone], 1)
-        np.add.at(edge, self.first[self.gone] + self.count[self.gone] + THRESHOLD - 1, -1)
-        if len(self.strings):
-            elsewhere = np.zeros(len(self.strings), bool)
-            for part, a, b in self.cut(self.part_of(self.strings)):
-                elsewhere[a:b] = np.unpackbits(np.frombuffer(codes[part], np.uint8), count=b - a)
-            goes = self.at[elsewhere[self.string_of] | (self.at_doc > self.string_doc[self.string_of])]
-            np.add.at(edge, goes, 1)
-            np.add.at(edge, goes + THRESHOLD, -1)
-        return np.cumsum(edge[:-1]) > 0
+            if not len(own):
+                continue
+            hashes = Hashes(self.data[a:b])
+            count = self.count[own]
+            at = np.repeat(self.first[own] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) - a
+            with np.errstate(over="ignore"):
+                held.append((at + a, common.mix64(hashes.at(at, at + HALF) * U64(0x9FB21C651E98DF25) + hashes.at(at + HALF, at + THRESHOLD))))
+            many += len(at)
+            if many >= self.at_once:
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held, many = [], 0
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    def distinct(self, at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct ranks, the least document of each, and each string's document and place among the ranks."""
+        doc = self.order[np.searchsorted(self.starts, at, "right") - 1]
+        ranks, place = np.unique(rank, return_inverse=True)
+        least = np.full(len(ranks), NO_ID)
+        np.minimum.at(least, place, doc)
+        return ranks, least, doc, place
+
+    def string_ranks(self) -> Iterator[tuple[int, int, bytes, bytes]]:
+        for sub, (at, rank) in enumerate(self.strings()):
+            ranks, least, _, _ = self.distinct(at, rank)
+            for part, a, b in self.cut(self.part_of(ranks)):
+                yield part, sub, ranks[a:b].tobytes(), least[a:b].tobytes()
+
+    def merged(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Maximal stretches of some that may overlap: row, start, end, in order. None reaches over a row's end."""
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], np.maximum.accumulate(end[order])
+        row = np.searchsorted(self.starts, start, "right") - 1
+        new = np.ones(len(start), bool)
+        new[1:] = (start[1:] > end[:-1]) | (row[1:] != row[:-1])
+        at = np.flatnonzero(new)
+        last = np.concatenate((at[1:], [len(start)])).astype(np.int64) - 1 if len(at) else at
+        return row[new], start[new], end[last]
+
+    def spans(self, codes: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The maximal stretches of bytes that go: row, start, end, in order."""
+        found = [self.merged(self.first[self.gone], self.first[self.gone] + self.count[self.gone] + THRESHOLD - 1)]
+        for sub, (at, rank) in enumerate(self.strings()):
+            ranks, least, doc, place = self.distinct(at, rank)
+            elsewhere = np.zeros(len(ranks), bool)
+            for part, a, b in self.cut(self.part_of(ranks)):
+                elsewhere[a:b] = np.unpackbits(np.frombuffer(codes[sub, part], np.uint8), count=b - a)
+            goes = at[elsewhere[place] | (doc > least[place])]
+            found.append(self.merged(goes, goes + THRESHOLD))
+        _, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        return self.merged(start, end)
+
+    def kept_hashes(self, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+        """SHA-256 of what is left of each row."""
+        first = np.searchsorted(row, np.arange(len(self.starts)))
+        out = []
+        for i, (a, b) in enumerate(zip(self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True)):
+            found = hashlib.sha256()
+            for k in range(first[i], first[i + 1]):
+                found.update(self.data[a : start[k]])
+                a = int(end[k])
+            found.update(self.data[a:b])
+            out.append(found.hexdigest())
+        return out
 
 
 #: Codes of a run's rank: settled as kept, gone, or open.
@@ -269,28 +305,28 @@ def _round(blocks: DataFrame, parts: int, send: Callable, kind: str, judge: Call
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for part, ranks, more in send(row):
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([row["block"]], pa.int32()), "ranks": [ranks], "more": [more]})
+                for part, sub, ranks, more in send(row):
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([row["block"]], pa.int32()), "sub": pa.array([sub], pa.int32()), "ranks": [ranks], "more": [more]})
 
     def answer(table: pa.Table) -> pa.Table:
         ranks = [np.frombuffer(r, kind) for r in table.column("ranks").to_pylist()]
         codes = judge(ranks, table.column("more").to_pylist())
-        return pa.table({"part": table.column("part"), "block": table.column("block"), "codes": pa.array(codes, pa.binary())})
+        return pa.table({"part": table.column("part"), "block": table.column("block"), "sub": table.column("sub"), "codes": pa.array(codes, pa.binary())})
 
     return common.written(blocks.mapInArrow(ask, SENT).groupBy("part").applyInArrow(answer, ANSWER), name)
 
 
 def _with(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
     """Each block with the answers to its ranks."""
-    own = answers.groupBy("block").agg(F.collect_list(F.struct("part", "codes")).alias(name))
+    own = answers.groupBy("block").agg(F.collect_list(F.struct("sub", "part", "codes")).alias(name))
     return blocks.join(own, "block", "left")
 
 
-def _codes(row: dict, name: str) -> dict[int, bytes]:
-    return {x["part"]: x["codes"] for x in row[name] or []}
+def _codes(row: dict, name: str) -> dict[tuple[int, int], bytes]:
+    return {(x["sub"], x["part"]): x["codes"] for x in row[name] or []}
 
 
-def without_repeats(docs: DataFrame, block_rows: int = 10_000) -> DataFrame:
+def without_repeats(docs: DataFrame, block_rows: int = 4_000, strings_at_once: int = STRINGS_AT_ONCE) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each whole text.
 
     Matches are of UTF-8 bytes and never cross documents; within one document nothing repeats.
@@ -308,10 +344,10 @@ def without_repeats(docs: DataFrame, block_rows: int = 10_000) -> DataFrame:
     dealt = lambda df: df.repartitionById(max(1, len(paths)), F.col("block"))
 
     def first(row: dict) -> Iterator:
-        return Block(row["path"], parts).anchors()
+        return Block(row["path"], parts, strings_at_once).anchors()
 
     def second_block(row: dict) -> Block:
-        block = Block(row["path"], parts)
+        block = Block(row["path"], parts, strings_at_once)
         for _ in block.anchors():
             pass
         block.keep(_codes(row, "one"))
@@ -334,23 +370,15 @@ def without_repeats(docs: DataFrame, block_rows: int = 10_000) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 block = third_block(row)
-                for _ in block.string_ranks():
-                    pass
-                goes = block.removed(_codes(row, "three"))
-                before = np.concatenate(([False], goes[:-1])) if len(goes) else goes
-                opens = goes & ~before
-                # A run of removed bytes ends with its document.
-                inner = block.starts[:-1][block.starts[:-1] < len(goes)]
-                opens[inner] = goes[inner]
-                total, spans = (np.concatenate(([0], np.cumsum(x))) for x in (goes, opens))
-                ends = list(zip(block.starts[:-1], block.starts[1:], strict=True))
+                span_row, start, end = block.spans(_codes(row, "three"))
+                rows = len(block.starts) - 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         block.ids,
                         pa.array(np.diff(block.starts)),
-                        pa.array(np.diff(total[block.starts])),
-                        pa.array(np.diff(spans[block.starts])),
-                        pa.array([hashlib.sha256(block.data[a:b][~goes[a:b]].tobytes()).hexdigest() for a, b in ends], pa.string()),
+                        pa.array(np.bincount(span_row, end - start, rows).astype(np.int64)),
+                        pa.array(np.bincount(span_row, minlength=rows).astype(np.int64)),
+                        pa.array(block.kept_hashes(span_row, start, end), pa.string()),
                     ],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
                 )

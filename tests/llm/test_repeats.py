@@ -61,6 +61,7 @@ def test_planted_passages(spark):
     r.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = same(docs, rows, block_rows=23)
+    same(docs, rows, block_rows=60, strings_at_once=50)
     assert sum(x[2] > 0 for x in got) > 60
 
 
