@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkqueue.llm import near_duplicates as nd
-from sparkqueue.llm.components import connected_components
+from sparkqueue.llm.components import connected_components, least_reachable
 
 
 def shingle_set(text, size):
@@ -106,6 +106,19 @@ def test_estimate_of_whole_sketches_is_exact():
     assert nd.shared_of_union(a, b, False) == (nd.KEPT - 10, nd.KEPT)
 
 
+def test_least_reachable():
+    r = np.random.default_rng(7)
+    chain = r.permutation(500)
+    vertex, root = least_reachable(chain[:-1], chain[1:])
+    assert vertex.tolist() == list(range(500)) and set(root) == {0}
+    u, v = r.integers(0, 300, 150), r.integers(0, 300, 150)
+    up = {int(x): int(x) for x in [*u, *v]}
+    for _ in range(300):
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            up[a] = up[b] = min(up[a], up[b])
+    assert dict(zip(*(x.tolist() for x in least_reachable(u, v)), strict=True)) == up
+
+
 def test_components(spark):
     r = random.Random(3)
     pairs = [(i, i + 1) for i in range(0, 90)] + [(1000, 1000 + i) for i in range(1, 50)] + [(r.randrange(2000, 2060), r.randrange(2000, 2060)) for _ in range(40)]
@@ -120,6 +133,8 @@ def test_components(spark):
     for a, b in pairs:
         x, y = root(a), root(b)
         up[max(x, y)] = min(x, y)
-    got = {x.vertex: x.component for x in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == {v: root(v) for p in pairs for v in p if p[0] != p[1]}
+    expected = {v: root(v) for p in pairs for v in p if p[0] != p[1]}
+    for links_a_task in (1_000_000, 60):
+        found = connected_components(spark.createDataFrame(pairs, "a long, b long"), links_a_task=links_a_task).collect()
+        assert len(found) == len(expected) and {x.vertex: x.component for x in found} == expected
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
