@@ -107,7 +107,7 @@ class SizeClass:
 class ItemIndex:
     """The index of some benchmark items: ``search`` finds which rows hold which."""
 
-    def __init__(self, ids: list[int], texts: list[str], percent: int = 80, recall: float = 0.97, seed: int = 1, most_walks: int = 64):
+    def __init__(self, ids: list[int], texts: list[str], percent: int = 80, recall: float = 0.97, seed: int = 1, most_walks: int = 1000):
         words, first = words_of(pa.array(texts, pa.string()))
         parts = {i: words[a:b] for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)) if b > a}
         self.ids, self.words = ids, parts
@@ -131,6 +131,8 @@ class ItemIndex:
         many = min(SAMPLED, reach)
         tries = self._edited(own, r)
         missed = np.ones(len(tries), bool)
+        tried = np.concatenate([np.concatenate((w, np.zeros(reach + 1, U64))) for _, w in tries])
+        tried_at = np.concatenate(([0], np.cumsum([len(w) + reach + 1 for _, w in tries[:-1]])))[:, None] + np.arange(5)
         while len(made.steps) < most_walks and missed.mean() > 1 - recall:
             # One step from each equal part of the walk.
             edges = np.linspace(0, reach, many + 1).astype(int)
@@ -147,10 +149,8 @@ class ItemIndex:
             made.hashes.append(hashes[inside][order])
             made.items.append(np.array(own)[inside][order])
             mine = dict(zip(np.array(own)[inside].tolist(), hashes[inside].tolist(), strict=True))
-            for k in np.flatnonzero(missed):
-                i, w = tries[k]
-                if i in mine:
-                    missed[k] = mine[i] not in set(walk(np.concatenate((w, np.zeros(reach + 1, U64))), np.arange(5), steps, salt)[0].tolist())
+            met = walk(tried, tried_at.ravel(), steps, salt)[0].reshape(tried_at.shape)
+            missed &= [i not in mine or mine[i] not in row for (i, _), row in zip(tries, met.tolist(), strict=True)]
         return made
 
     def _edited(self, own: list[int], r: np.random.Generator, tries: int = 240) -> list[tuple[int, np.ndarray]]:
