@@ -9,8 +9,10 @@ writes the word under the pointer, and moves the pointer on or not as a random f
 word and j says. Few edits change few steps, so edit distance becomes Hamming distance, and sampling
 some steps is a locality-sensitive hash for it. Windows and items whose sampled steps agree are
 candidates. Walks and samples are repeated until items with as many edits as allowed are found with
-the target recall, which is simulated when the index is built. Each candidate is then confirmed by
-the exact edit distance.
+the target recall, which is simulated when the index is built. Where that takes too many walks
+(long items), the class is searched without loss instead: an item is cut into one piece more than
+its allowed edits, so a match holds one of them whole, and all places of all pieces are candidates.
+Each candidate is then confirmed by the exact edit distance.
 
 Before walking, a window is passed over if too few of its word pairs occur in any item at all. An
 edit spoils two of an item's word pairs at most, so this is a necessary condition of a match and
@@ -75,6 +77,16 @@ def walk(words: np.ndarray, at: np.ndarray, steps: np.ndarray, salt: int) -> tup
     return common.mix64(found), last
 
 
+def runs_of(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words, by its first."""
+    n = len(words)
+    if n < size:
+        return np.zeros(0, U64)
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, U64), np.cumsum(words * common.powers(common._P, n), dtype=U64)))
+        return common.mix64((total[size:] - total[: n + 1 - size]) * common.powers(common._P_INV, n + 1)[: n + 1 - size])
+
+
 def least_distance(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """For each row of ``texts``, the least edit distance between the item and any stretch of the row."""
     width = texts.shape[1]
@@ -104,6 +116,16 @@ class SizeClass:
     items: list[np.ndarray] = field(default_factory=list)
 
 
+@dataclass
+class Pieces:
+    """Pieces of one size, sorted by hash: their items, and where in the item they start."""
+
+    size: int
+    hashes: np.ndarray
+    items: np.ndarray
+    offsets: np.ndarray
+
+
 class ItemIndex:
     """The index of some benchmark items: ``search`` finds which rows hold which."""
 
@@ -116,15 +138,37 @@ class ItemIndex:
         for w in parts.values():
             self.pairs[pairs_of(w)] = True
         self.classes: list[SizeClass] = []
+        whole: list[int] = []
         r = np.random.default_rng(seed)
         rest = sorted(parts, key=lambda i: len(parts[i]))
         while rest:
             least = len(parts[rest[0]])
             own = [i for i in rest if len(parts[i]) <= least * 5 // 4]
             rest = rest[len(own) :]
-            self.classes.append(self._class(own, least, recall, r, most_walks))
+            if made := self._class(own, least, recall, r, most_walks):
+                self.classes.append(made)
+            else:
+                whole += own
+        self.pieces = self._cut(whole)
+
+    def _cut(self, own: list[int]) -> list[Pieces]:
+        """Each item in one piece more than its allowed edits: a match holds one of them unedited."""
+        by_size: dict[int, list[tuple[int, int, int]]] = {}
+        for i in own:
+            n, many = len(self.words[i]), min(self.allowed[i] + 1, len(self.words[i]))
+            edges = [j * n // many for j in range(many + 1)]
+            for size in {b - a for a, b in zip(edges[:-1], edges[1:], strict=True)}:
+                found = runs_of(self.words[i], size)
+                by_size.setdefault(size, []).extend((int(found[a]), i, a) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a == size)
+        out = []
+        for size, found in sorted(by_size.items()):
+            found.sort()
+            hashes, items, offsets = zip(*found, strict=True)
+            out.append(Pieces(size, np.array(hashes, U64), np.array(items), np.array(offsets)))
+        return out
 
-    def _class(self, own: list[int], least: int, recall: float, r: np.random.Generator, most_walks: int) -> SizeClass:
+    def _class(self, own: list[int], least: int, recall: float, r: np.random.Generator, most_walks: int) -> SizeClass | None:
+        """The walks of a class, or none if ``most_walks`` can't reach the recall."""
         sizes = [(len(self.words[i]), self.allowed[i]) for i in own]
         made = SizeClass(least, max(n + k for n, k in sizes), max(0, min(n - 1 - 2 * k for n, k in sizes)))
         reach = STEPS * least
@@ -133,7 +177,16 @@ class ItemIndex:
         missed = np.ones(len(tries), bool)
         tried = np.concatenate([np.concatenate((w, np.zeros(reach + 1, U64))) for _, w in tries])
         tried_at = np.concatenate(([0], np.cumsum([len(w) + reach + 1 for _, w in tries[:-1]])))[:, None] + np.arange(5)
-        while len(made.steps) < most_walks and missed.mean() > 1 - recall:
+        before = 1.0
+        while missed.mean() > 1 - recall:
+            if len(made.steps) >= most_walks:
+                return None
+            if made.steps and len(made.steps) % 100 == 0:
+                # What is missed longest is hardest to find, so the rate of late only falls.
+                now = missed.mean()
+                if now * (now / before) ** ((most_walks - len(made.steps)) / 100) > 1 - recall:
+                    return None
+                before = now
             # One step from each equal part of the walk.
             edges = np.linspace(0, reach, many + 1).astype(int)
             steps = np.array([r.integers(a, max(b, a + 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
@@ -173,11 +226,11 @@ class ItemIndex:
 
     def search(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
         """``row, item, distance`` for each row and each item that it holds."""
-        if not len(words) or not self.classes:
+        if not len(words):
             return []
         total = np.concatenate(([0], np.cumsum(self.pairs[pairs_of(words)]), [0]))
         total[-1] = total[-2]
-        padded = np.concatenate((words, np.zeros(STEPS * max(c.least for c in self.classes) + 1, U64)))
+        padded = np.concatenate((words, np.zeros(STEPS * max((c.least for c in self.classes), default=0) + 1, U64)))
         row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         row_end = first[1:][row_of]
         places = np.arange(len(words))
@@ -196,17 +249,51 @@ class ItemIndex:
                         met.setdefault(int(i), set()).add(int(at[k]))
         out = []
         for i, starts in met.items():
-            best = self._confirm(i, np.array(sorted(starts)), padded, row_of, first)
+            at = np.array(sorted(starts))
+            best = self._confirm(i, at, row_of[at], len(self.words[i]) + 2 * self.allowed[i] + 8, padded, first)
+            out += [(row, i, d) for row, d in best.items()]
+        return out + self._search_pieces(words, row_of, row_end, total, padded, first)
+
+    def _search_pieces(self, words: np.ndarray, row_of: np.ndarray, row_end: np.ndarray, total: np.ndarray, padded: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+        """``row, item, distance`` for the items cut into pieces. Nothing is missed."""
+        parts = []
+        for p in self.pieces:
+            found = runs_of(words, p.size)
+            low = np.searchsorted(p.hashes, found)
+            many = np.searchsorted(p.hashes, found, "right") - low
+            at = np.flatnonzero(many)
+            at = at[at + p.size <= row_end[at]]
+            many = many[at]
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            which, place = np.repeat(low[at], many) + nth, np.repeat(at, many)
+            parts.append(np.stack((p.items[which], row_of[place], place - p.offsets[which])))
+        if not parts:
+            return []
+        items, rows, starts = np.concatenate(parts, axis=1)
+        # Starts of 2k + 1 neighbouring words are confirmed together.
+        span = 2 * np.array([self.allowed.get(i, 0) for i in range(len(self.ids))]) + 1
+        starts -= (starts - first[rows]) % span[items]
+        items, rows, starts = np.unique(np.stack((items, rows, starts)), axis=1)
+        out = []
+        edges = np.flatnonzero(np.diff(items, prepend=-1, append=-1)) if len(items) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            i, at, own = int(items[a]), starts[a:b], rows[a:b]
+            k = self.allowed[i]
+            width = len(self.words[i]) + 4 * k + 8
+            low = np.clip(at - k - 4, first[own], first[own + 1])
+            high = np.clip(at - k - 4 + width, low + 1, np.maximum(low + 1, first[own + 1]))
+            enough = total[high - 1] - total[low] >= len(self.words[i]) - 1 - 2 * k
+            best = self._confirm(i, at[enough], own[enough], width, padded, first)
             out += [(row, i, d) for row, d in best.items()]
         return out
 
-    def _confirm(self, i: int, starts: np.ndarray, padded: np.ndarray, row_of: np.ndarray, first: np.ndarray) -> dict[int, int]:
+    def _confirm(self, i: int, starts: np.ndarray, rows_of: np.ndarray, width: int, padded: np.ndarray, first: np.ndarray) -> dict[int, int]:
+        """The least distance of the item in each row where ``width`` words about a start hold it."""
         item, k = self.words[i], self.allowed[i]
-        width = len(item) + 2 * k + 8
         best: dict[int, int] = {}
-        for at in range(0, len(starts), 2048):
-            some = starts[at : at + 2048]
-            rows = row_of[some]
+        step = max(1, min(2048, 2_000_000 // width))
+        for at in range(0, len(starts), step):
+            some, rows = starts[at : at + step], rows_of[at : at + step]
             place = (some - k - 4)[:, None] + np.arange(width)[None, :]
             inside = (place >= first[rows][:, None]) & (place < first[rows + 1][:, None])
             texts = np.where(inside, padded[np.clip(place, 0, len(padded) - 1)], U64(0))

@@ -107,3 +107,32 @@ def test_edge_cases(spark, awkward, no_rows):
     assert dc.contaminated(no_rows, items).count() == 0
     assert dc.contaminated(awkward, items.limit(0)).count() == 0
     assert dc.without_contaminated(awkward, items.limit(0)).count() == awkward.count()
+
+
+def edited(item, edits, r):
+    """The item with so many random edits, spread over it."""
+    out = list(item)
+    for at in sorted(r.sample(range(len(item)), edits), reverse=True):
+        out[at : at + 1] = [["new"], ["new", out[at]], []][r.randrange(3)]
+    return out
+
+
+@pytest.mark.parametrize("size", [400, 800])
+def test_long_items_at_the_allowed_edits(size):
+    r = random.Random(size)
+    items = [[f"v{r.randrange(3000)}" for _ in range(size)] for _ in range(4)]
+    index = dc.ItemIndex(list(range(4)), [" ".join(w) for w in items])
+    docs = [edited(items[k % 4], size // 5, r) for k in range(24)]
+    docs = [["other"] * (k % 3) + w + ["words"] * (k % 5) for k, w in enumerate(docs)]
+    found = index.search(*dc.words_of(pa.array([" ".join(w) for w in docs] + ["a text that holds none"])))
+    assert {(row, i) for row, i, _ in found} == {(k, k % 4) for k in range(24)}
+    assert all(d <= size // 5 for *_, d in found)
+
+
+@pytest.mark.parametrize("edits", [0.0, 0.08, 0.16])
+def test_pieces_against_brute_force(edits):
+    docs, items = planted(int(edits * 100) + 1, edits)
+    index = dc.ItemIndex([i for i, _ in items], [t for _, t in items], most_walks=0)
+    assert not index.classes
+    found = {(docs[row][0], items[i][0]): d for row, i, d in index.search(*dc.words_of(pa.array([t for _, t in docs])))}
+    assert found == brute_force(docs, items)
