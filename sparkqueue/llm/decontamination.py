@@ -9,7 +9,8 @@ writes the word under the pointer, and moves the pointer on or not as a random f
 word and j says. Few edits change few steps, so edit distance becomes Hamming distance, and sampling
 some steps is a locality-sensitive hash for it. Windows and items whose sampled steps agree are
 candidates. Walks and samples are repeated until items with as many edits as allowed are found with
-the target recall, which is simulated when the index is built. Where that takes too many walks
+the target recall, which is simulated when the index is built, and until each item lies whole inside
+one walk, by which all its exact copies are found. Where that takes too many walks
 (long items), the class is searched without loss instead: an item is cut into one piece more than
 its allowed edits, so a match holds one of them whole, and all places of all pieces are candidates.
 Each candidate is then confirmed by the exact edit distance.
@@ -177,14 +178,15 @@ class ItemIndex:
         missed = np.ones(len(tries), bool)
         tried = np.concatenate([np.concatenate((w, np.zeros(reach + 1, U64))) for _, w in tries])
         tried_at = np.concatenate(([0], np.cumsum([len(w) + reach + 1 for _, w in tries[:-1]])))[:, None] + np.arange(5)
+        indexed: set[int] = set()
         before = 1.0
-        while missed.mean() > 1 - recall:
+        while missed.mean() > 1 - recall or len(indexed) < len(own):
             if len(made.steps) >= most_walks:
                 return None
             if made.steps and len(made.steps) % 100 == 0:
                 # What is missed longest is hardest to find, so the rate of late only falls.
                 now = missed.mean()
-                if now * (now / before) ** ((most_walks - len(made.steps)) / 100) > 1 - recall:
+                if now and now * (now / before) ** ((most_walks - len(made.steps)) / 100) > 1 - recall:
                     return None
                 before = now
             # One step from each equal part of the walk.
@@ -202,6 +204,7 @@ class ItemIndex:
             made.hashes.append(hashes[inside][order])
             made.items.append(np.array(own)[inside][order])
             mine = dict(zip(np.array(own)[inside].tolist(), hashes[inside].tolist(), strict=True))
+            indexed |= mine.keys()
             met = walk(tried, tried_at.ravel(), steps, salt)[0].reshape(tried_at.shape)
             missed &= [i not in mine or mine[i] not in row for (i, _), row in zip(tries, met.tolist(), strict=True)]
         return made

@@ -136,3 +136,11 @@ def test_pieces_against_brute_force(edits):
     assert not index.classes
     found = {(docs[row][0], items[i][0]): d for row, i, d in index.search(*dc.words_of(pa.array([t for _, t in docs])))}
     assert found == brute_force(docs, items)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 12])
+def test_every_item_is_found_verbatim(size):
+    items = [" ".join(f"u{k}x{j}" for j in range(size)) for k in range(2000)]
+    index = dc.ItemIndex(list(range(2000)), items)
+    found = index.search(*dc.words_of(pa.array([f"before {t} after" for t in items])))
+    assert {(row, i) for row, i, d in found if d == 0} >= {(k, k) for k in range(2000)}
