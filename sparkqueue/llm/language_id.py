@@ -94,22 +94,33 @@ def held_out(modulus: int, remainder: int) -> Column:
 
 
 def fit_language_filters(train: DataFrame, per_language: int = 400, longest: int = 1 << 20, most: int = 20_000) -> LanguageFilters:
-    """Learn from about ``per_language`` labelled rows of each language, chosen by a hash of the row.
+    """Learn from the ``per_language`` distinct labelled texts of each language whose hashes are least.
 
-    The sample is the bound on what the driver holds: rows with a null text or language, or with a
-    text of over ``longest`` bytes, are not in it. An n-gram counts if two sampled rows of its
+    Copies of a text count once, so a language with fewer texts gives all of them, however often one
+    is repeated. The sample is the bound on what the driver holds: rows with a null text or
+    language, or with a text of over ``longest`` bytes, are not in it. An n-gram counts if two sampled rows of its
     language have it, or if the language has fewer than eight rows.
     """
     rows = common.documents_only(train, "text", "lang").where("text is not null and lang is not null").where(F.octet_length("text") <= longest)
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.withColumn("_at", F.shiftrightunsigned(F.xxhash64("text", F.lit(17)), 1))
+    keys = common.written(rows.select("lang", "_at").distinct(), "language-keys")
+    sizes = {r.lang: r.n for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
+        common.drop_written(keys)
         return LanguageFilters([], [])
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))))
-    chosen = rows.withColumn("at", F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))).where(F.col("at") < share[F.col("lang")])
+
+    def within(bounds: dict[str, int]) -> Column:
+        return F.col("_at") <= F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair))[F.col("lang")]
+
+    # Twice the share holds the least hashes with all but certainty; the driver sees their exact bound.
+    top = (1 << 63) - 1
+    some: dict[str, list[int]] = {}
+    for r in keys.where(within({lang: min(top, top * (2 * per_language + 50) // n) for lang, n in sizes.items()})).toLocalIterator():
+        some.setdefault(r.lang, []).append(r["_at"])
+    common.drop_written(keys)
     by_lang: dict[str, list[str]] = {}
-    for r in chosen.select("lang", "text").distinct().toLocalIterator():
-        if len(own := by_lang.setdefault(r.lang, [])) < 2 * per_language:
-            own.append(r.text)
+    for r in rows.where(within({lang: sorted(own)[:per_language][-1] for lang, own in some.items()})).select("lang", "text").distinct().toLocalIterator():
+        by_lang.setdefault(r.lang, []).append(r.text)
     names, sets = sorted(by_lang), []
     for lang in names:
         seen: Counter = Counter()

@@ -132,6 +132,27 @@ def test_language_on_held_out_rows(tables):
     assert (got.lang == got.lang_pred).mean() > 0.97
 
 
+def test_languages_full_of_copies_are_learned_from_all_their_texts(spark, monkeypatch):
+    learned = {}
+    monkeypatch.setattr("sparkqueue.llm.language_id.LanguageFilters", lambda names, sets: learned.update(zip(names, sets, strict=True)))
+    copies = spark.range(20000).select(F.lit("xx").alias("lang"), F.lit("all of these are copies").alias("text"))
+    others = spark.range(30).select(F.lit("xx").alias("lang"), F.format_string("words of text number %d", "id").alias("text"))
+    many = spark.range(300).select(F.lit("yy").alias("lang"), F.format_string("other %d text", "id").alias("text"))
+    fit_language_filters(copies.union(others).union(many), per_language=40)
+    assert set(learned) == {"xx", "yy"}
+    assert np.isin(grams(["words of text number"])[0][4:16], learned["xx"]).all()
+
+
+def test_languages_learn_from_as_many_texts_as_asked_for(spark, monkeypatch):
+    from sparkqueue.llm import language_id
+
+    read = []
+    monkeypatch.setattr(language_id, "grams", lambda texts: read.extend(texts) or grams(texts))
+    docs = spark.range(6000).select(F.lit("xx").alias("lang"), F.format_string("text %d", F.greatest(F.col("id") - 5000, F.lit(0))).alias("text"))
+    fit_language_filters(docs, per_language=100)
+    assert len(read) == len(set(read)) == 100
+
+
 def test_language_edge_cases(awkward, no_rows):
     filters = fit_language_filters(awkward)
     got = identify_languages(awkward, filters).toPandas()
