@@ -132,26 +132,32 @@ def powers(p: int, n: int) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of every row, as 64-bit hashes of their bytes.
+    """Words of every row, as 64-bit hashes of their bytes; see :func:`token_hashes`."""
+    return token_hashes(_BYTE[data], ~separator[data], starts)
 
+
+def token_hashes(values: np.ndarray, inside: np.ndarray, starts: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of every row, as 64-bit hashes of their characters' ``values``.
+
+    Words are runs of characters that are ``inside``; one that is also ``alone`` is a word by itself.
     Returns the hashes, each word's first byte and end, and per row the index of its first word
     (one more entry at the end). A word never crosses a row, as rows are cut at ``starts``.
     """
-    n = len(data)
+    n = len(values)
     if n == 0:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
-    inside = ~separator[data]
     new_row = np.zeros(n + 1, bool)
     new_row[starts[:-1][starts[:-1] < n]] = True
+    cut = new_row[1:n] if alone is None else new_row[1:n] | alone[1:] | alone[:-1]
     begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | new_row[1:n]
+    begins[1:] &= ~inside[:-1] | cut
     first = np.flatnonzero(begins)
     stops = inside.copy()
-    stops[:-1] &= ~inside[1:] | new_row[1:n]
+    stops[:-1] &= ~inside[1:] | cut
     end = np.flatnonzero(stops) + 1
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[data] * powers(_P, n), out=total[1:])
+        np.cumsum(values * powers(_P, n), out=total[1:])
         hashes = mix64((total[end] - total[first]) * powers(_P_INV, n)[first] + (end - first).astype(U64))
     return hashes, first, end, np.searchsorted(first, starts)
 

@@ -1,8 +1,11 @@
 """Benchmark decontamination: which documents hold a benchmark item, whole or slightly edited.
 
-Items and documents are sequences of words: runs of letters and digits, lower case (A-Z), so case,
-punctuation and white space don't matter. A document holds an item of L words if some stretch of
-it can be turned into the item by at most L * (100 - percent) / 100 word edits.
+Items and documents are sequences of words: runs of Unicode letters, digits and marks, lower case, so
+case, punctuation and white space don't matter. In scripts without spaces (Chinese, Japanese, Thai and
+the like) each character is a word, and so is each symbol beyond ASCII. A document holds an item of L
+words if some stretch of it can be turned into the item by at most L * (100 - percent) / 100 word edits,
+or if it holds the item's N characters (those of words alone) with at most a quarter of that share of N
+edited, where that is one edit or more: so typos in many words don't hide a passage.
 
 The search embeds the item-sized window at each word of a document with a CGK random walk: step j
 writes the word under the pointer, and moves the pointer on or not as a random function of that
@@ -17,14 +20,15 @@ Each candidate is then confirmed by the exact edit distance.
 
 Before walking, a window is passed over if too few of its word pairs occur in any item at all. An
 edit spoils two of an item's word pairs at most, so this is a necessary condition of a match and
-nothing is lost by it.
+nothing is lost by it. Character edits are searched by exact pieces alone.
 """
 
 from __future__ import annotations
 
-import math
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +39,93 @@ from sparkqueue.llm import common
 
 U64 = np.uint64
 
-#: Everything in ASCII but letters and digits parts words.
-APART = np.ones(256, bool)
-APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: First and last characters of scripts written without spaces between words.
+UNSPACED = (
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3021, 0x3035),
+    (0x303B, 0x30FA), (0x30FC, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF),
+)
+#: What a character is: between words, part of one, a word by itself, or nothing (format characters).
+APART, PART, ALONE, NOTHING = range(4)
 
 #: Steps that a hash samples, and steps walked for each word of the shortest item of a class.
 SAMPLED, STEPS = 4, 2
 PAIR_BITS = 22
-#: Words that a task searches in one go.
-WORDS_AT_ONCE = 2_000_000
+#: Sizes by which pieces of at least the first are looked for.
+HEADS = (9, 12, 16, 32, 64, 128)
+#: Bytes of text that a task searches in one go.
+BYTES_AT_ONCE = 12_000_000
+
+
+@lru_cache(maxsize=1)
+def characters() -> tuple[np.ndarray, np.ndarray]:
+    """What each character is, and the hash of its lower case."""
+    kind, lower = np.full(0x40000, ALONE, np.uint8), np.arange(0x40000, dtype=U64)
+    for c in range(0x40000):
+        one = chr(c)
+        group = unicodedata.category(one)
+        if group == "Cf":
+            kind[c] = NOTHING
+        elif group[0] in "PZ" or group in ("Cc", "Cs") or group[0] == "S" and c < 128:
+            kind[c] = APART
+        elif group[0] in "LNM":
+            kind[c] = PART
+        if len(small := one.lower()) == 1:
+            lower[c] = ord(small)
+    for a, b in UNSPACED:
+        own = kind[a : b + 1]
+        own[own == PART] = ALONE
+    with np.errstate(over="ignore"):
+        return kind, common.mix64((lower + U64(1)) * U64(0xD6E8FEB86659FD93))
+
+
+def symbols_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and kind of each character of all rows, and where each row starts (one more at the end)."""
+    data, starts = common.text_bytes(texts)
+    kinds, hashes = characters()
+    if len(data) and data.max() >= 128:
+        # The bytes after a character's first are folded into it.
+        lead = (data & 0xC0) != 0x80
+        at = np.flatnonzero(lead)
+        starts = np.concatenate(([0], np.cumsum(lead)))[starts]
+        symbols = data[at].astype(np.uint32)
+        wide = np.flatnonzero(symbols >= 0xC0)
+        code, place = symbols[wide], at[wide]
+        size = 2 + (code >= 0xE0) + (code >= 0xF0)
+        full = code & (0x7F >> size).astype(np.uint32)
+        for j in range(1, 4):
+            more = size > j
+            full[more] = full[more] << np.uint32(6) | data[np.minimum(place[more] + j, len(data) - 1)] & np.uint32(0x3F)
+        symbols[wide] = np.minimum(full, 0x3FFFF)
+    else:
+        symbols = data
+    kind = kinds[symbols]
+    if (gone := kind == NOTHING).any():
+        starts = np.concatenate(([0], np.cumsum(~gone)))[starts]
+        symbols, kind = symbols[~gone], kind[~gone]
+    return hashes[symbols], kind, starts
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes (never 0) of all rows, and where each row's words start (one more at the end)."""
-    data, starts = common.text_bytes(texts)
-    found, _, _, first = common.word_hashes(common.LOWER[data], starts, APART)
+    return _words(*symbols_of(texts))
+
+
+def _words(values: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, _, _, first = common.token_hashes(values, kind != APART, starts, kind == ALONE)
     return np.maximum(found, U64(1)), first
 
 
+def letters_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`words_of`, with each character of a word for itself."""
+    return _letters(*symbols_of(texts))
+
+
+def _letters(values: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = kind != APART
+    return np.maximum(values[inside], U64(1)), np.concatenate(([0], np.cumsum(inside)))[starts]
+
+
 def pairs_of(words: np.ndarray) -> np.ndarray:
     """For each word but the last, the place in the pair table of it and the next."""
     with np.errstate(over="ignore"):
@@ -119,9 +192,13 @@ class SizeClass:
 
 @dataclass
 class Pieces:
-    """Pieces of one size, sorted by hash: their items, and where in the item they start."""
+    """Pieces of one size, sorted by hash: their items, and where in the item they start.
+
+    ``known`` says which ends of a hash occur.
+    """
 
     size: int
+    known: np.ndarray
     hashes: np.ndarray
     items: np.ndarray
     offsets: np.ndarray
@@ -132,25 +209,28 @@ class ItemIndex:
 
     def __init__(self, ids: list[int], texts: list[str], percent: int = 80, recall: float = 0.97, seed: int = 1, most_walks: int = 1000):
         words, first = words_of(pa.array(texts, pa.string()))
-        parts = {i: words[a:b] for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)) if b > a}
-        self.ids, self.words = ids, parts
-        self.allowed = {i: len(w) * (100 - percent) // 100 for i, w in parts.items()}
-        self.pairs = np.zeros(1 << PAIR_BITS, bool)
-        for w in parts.values():
-            self.pairs[pairs_of(w)] = True
+        self._fill(ids, {i: words[a:b] for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)) if b > a}, percent)
         self.classes: list[SizeClass] = []
         whole: list[int] = []
         r = np.random.default_rng(seed)
-        rest = sorted(parts, key=lambda i: len(parts[i]))
+        rest = sorted(self.words, key=lambda i: len(self.words[i]))
         while rest:
-            least = len(parts[rest[0]])
-            own = [i for i in rest if len(parts[i]) <= least * 5 // 4]
+            least = len(self.words[rest[0]])
+            own = [i for i in rest if len(self.words[i]) <= least * 5 // 4]
             rest = rest[len(own) :]
             if made := self._class(own, least, recall, r, most_walks):
                 self.classes.append(made)
             else:
                 whole += own
         self.pieces = self._cut(whole)
+        self.letters = LetterIndex(ids, texts, 100 - (100 - percent) / 4)
+
+    def _fill(self, ids: list[int], parts: dict[int, np.ndarray], percent: float) -> None:
+        self.ids, self.words = ids, parts
+        self.allowed = {i: int(len(w) * (100 - percent) // 100) for i, w in parts.items()}
+        self.pairs = np.zeros(1 << PAIR_BITS, bool)
+        for w in parts.values():
+            self.pairs[pairs_of(w)] = True
 
     def _cut(self, own: list[int]) -> list[Pieces]:
         """Each item in one piece more than its allowed edits: a match holds one of them unedited."""
@@ -158,14 +238,18 @@ class ItemIndex:
         for i in own:
             n, many = len(self.words[i]), min(self.allowed[i] + 1, len(self.words[i]))
             edges = [j * n // many for j in range(many + 1)]
-            for size in {b - a for a, b in zip(edges[:-1], edges[1:], strict=True)}:
+            # Long pieces are known by their heads, so that few sizes are looked for.
+            sizes = [max((s for s in HEADS if s <= b - a), default=b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            for size in set(sizes):
                 found = runs_of(self.words[i], size)
-                by_size.setdefault(size, []).extend((int(found[a]), i, a) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a == size)
+                by_size.setdefault(size, []).extend((int(found[a]), i, a) for a, own in zip(edges[:-1], sizes, strict=True) if own == size)
         out = []
         for size, found in sorted(by_size.items()):
             found.sort()
             hashes, items, offsets = zip(*found, strict=True)
-            out.append(Pieces(size, np.array(hashes, U64), np.array(items), np.array(offsets)))
+            known = np.zeros(1 << PAIR_BITS, bool)
+            known[np.array(hashes, U64) & U64((1 << PAIR_BITS) - 1)] = True
+            out.append(Pieces(size, known, np.array(hashes, U64), np.array(items), np.array(offsets)))
         return out
 
     def _class(self, own: list[int], least: int, recall: float, r: np.random.Generator, most_walks: int) -> SizeClass | None:
@@ -229,7 +313,7 @@ class ItemIndex:
 
     def search(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
         """``row, item, distance`` for each row and each item that it holds."""
-        if not len(words):
+        if not len(words) or not self.words:
             return []
         total = np.concatenate(([0], np.cumsum(self.pairs[pairs_of(words)]), [0]))
         total[-1] = total[-2]
@@ -257,18 +341,34 @@ class ItemIndex:
             out += [(row, i, d) for row, d in best.items()]
         return out + self._search_pieces(words, row_of, row_end, total, padded, first)
 
+    def search_texts(self, texts: list[pa.Array]) -> list[tuple[int, int, int]]:
+        """``row, item, distance`` of the rows of all ``texts`` in turn, by words or by characters.
+
+        The distance is in words either way; by characters alone it is beyond the allowed edits.
+        """
+        parts, alike, rows = [], [], 0
+        for t in texts:
+            symbols = symbols_of(t)
+            parts.append(_words(*symbols))
+            alike += [(rows + row, i) for row, i, _ in self.letters.search(*_letters(*symbols))]
+            rows += len(t)
+        words = np.concatenate([w for w, _ in parts])
+        first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts])))).astype(np.int64)
+        out = self.search(words, first)
+        met = {(row, i) for row, i, _ in out}
+        return out + [(row, i, int(least_distance(self.words[i], words[None, first[row] : first[row + 1]])[0])) for row, i in alike if (row, i) not in met]
+
     def _search_pieces(self, words: np.ndarray, row_of: np.ndarray, row_end: np.ndarray, total: np.ndarray, padded: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
         """``row, item, distance`` for the items cut into pieces. Nothing is missed."""
         parts = []
         for p in self.pieces:
             found = runs_of(words, p.size)
-            low = np.searchsorted(p.hashes, found)
-            many = np.searchsorted(p.hashes, found, "right") - low
-            at = np.flatnonzero(many)
+            at = np.flatnonzero(p.known[found & U64((1 << PAIR_BITS) - 1)])
             at = at[at + p.size <= row_end[at]]
-            many = many[at]
+            low = np.searchsorted(p.hashes, found[at])
+            many = np.searchsorted(p.hashes, found[at], "right") - low
             nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            which, place = np.repeat(low[at], many) + nth, np.repeat(at, many)
+            which, place = np.repeat(low, many) + nth, np.repeat(at, many)
             parts.append(np.stack((p.items[which], row_of[place], place - p.offsets[which])))
         if not parts:
             return []
@@ -306,9 +406,22 @@ class ItemIndex:
         return best
 
 
+class LetterIndex(ItemIndex):
+    """The same over the characters of words, by pieces alone, for items of which any may be edited."""
+
+    def __init__(self, ids: list[int], texts: list[str], percent: float):
+        letters, first = letters_of(pa.array(texts, pa.string()))
+        parts = {i: letters[a:b] for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))}
+        self._fill(ids, {i: w for i, w in parts.items() if len(w) * (100 - percent) >= 100}, percent)
+        self.classes = []
+        self.pieces = self._cut(list(self.words))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, recall: float = 0.97, slice_items: int = 20_000) -> DataFrame:
     """``doc_id, item_id, distance`` (word edits) for each document and each item that it holds.
 
+    The distance is beyond the allowed share where a document holds an item by character edits alone.
+
     Only ``slice_items`` items are broadcast at a time (their number per slice is bounded in
     expectation by a hash of the item); a larger benchmark takes several passes over the
     documents. Null or wordless items and texts match nothing. Repeated documents and items give
@@ -351,29 +464,28 @@ def _search(rows: DataFrame, index: ItemIndex, clean: bool) -> DataFrame:
         held, many = [], 0
         for batch in batches:
             for piece in common.text_batches(batch):
-                held.append((piece, *words_of(piece.column("text"))))
-                many += len(held[-1][1])
-                if many > WORDS_AT_ONCE:
+                held.append(piece)
+                many += piece.column("text").nbytes
+                if many > BYTES_AT_ONCE:
                     yield from answer(held)
                     held, many = [], 0
         yield from answer(held)
 
-    def answer(held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def answer(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         own = shared.value
-        first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(h[2]) for h in held]))))
-        met = own.search(np.concatenate([h[1] for h in held]), first.astype(np.int64))
+        met = own.search_texts([h.column("text") for h in held])
         rows_met = np.array([r for r, _, _ in met], np.int64)
         if clean:
-            stays = np.ones(len(first) - 1, bool)
+            stays = np.ones(sum(h.num_rows for h in held), bool)
             stays[rows_met] = False
             at = 0
-            for piece, *_ in held:
+            for piece in held:
                 yield piece.filter(pa.array(stays[at : at + piece.num_rows]))
                 at += piece.num_rows
         else:
-            ids = pa.concat_arrays([h[0].column("doc_id") for h in held])
+            ids = pa.concat_arrays([h.column("doc_id") for h in held])
             found = [ids.take(pa.array(rows_met)), pa.array([own.ids[i] for _, i, _ in met], pa.int64()), pa.array([d for *_, d in met], pa.int32())]
             yield pa.RecordBatch.from_arrays(found, names=["doc_id", "item_id", "distance"])
 

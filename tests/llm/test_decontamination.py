@@ -144,3 +144,30 @@ def test_every_item_is_found_verbatim(size):
     index = dc.ItemIndex(list(range(2000)), items)
     found = index.search(*dc.words_of(pa.array([f"before {t} after" for t in items])))
     assert {(row, i) for row, i, d in found if d == 0} >= {(k, k) for k in range(2000)}
+
+
+def test_scripts_without_spaces_and_their_punctuation():
+    items = ["机器学习模型需要大量的训练数据才能取得好的结果", "これは評価のための文章です", "ประเทศไทยมีประชากรมาก", "Élan Überall Señor ÇA ÉTÉ", "«un texte» écrit…"]
+    index = dc.ItemIndex(list(range(5)), items)
+    docs = ["前文" + items[0] + "。后文没有空格。", "「" + items[1] + "」と書く。", "ก่อน" + items[2] + "หลัง", "x élan überall señor ça été", "un—texte écrit", "别的文字，没有题目。", None]
+    found = index.search(*dc.words_of(pa.array(docs)))
+    assert sorted(found) == [(k, k, 0) for k in range(5)]
+    swapped = items[0].replace("训练", "练习")
+    assert index.search(*dc.words_of(pa.array([f"前{swapped}后"])))[0][:2] == (0, 0)
+
+
+def test_typos_in_many_words():
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(6, 11)))
+    items = [[word() for _ in range(n)] for n in (8, 20, 40, 90)]
+    index = dc.ItemIndex(list(range(4)), [" ".join(w) for w in items])
+    docs, far = [], 0
+    for k, w in enumerate(items * 3):
+        spoiled = list(w)
+        for at in r.sample(range(len(w)), max(2, len(w) * 3 // 8)):
+            spoiled[at] = spoiled[at][:2] + "0" + spoiled[at][3:]
+        far += least(w, spoiled) > len(w) // 5
+        docs.append(" ".join([word() for _ in range(k)] + spoiled + [word()]))
+    assert far == 12
+    found = index.search_texts([pa.array(docs[:5]), pa.array([None, *docs[5:], "no item at all in here"])])
+    assert {(row, i) for row, i, _ in found} == {(k + (k >= 5), k % 4) for k in range(12)}
