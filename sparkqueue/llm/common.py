@@ -9,9 +9,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkqueue.sources.folders import shared_folder
+
 U64 = np.uint64
 
 
@@ -19,25 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one
-    machine) a folder of our own is made.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
-
-        named = _own_folder(tempfile.gettempdir(), spark.sparkContext.applicationId)
-    return named.rstrip("/")
-
-
-@lru_cache(maxsize=None)
-def _own_folder(base: str, app: str) -> str:
-    return f"file://{base}/sparkqueue-{app}"
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -56,12 +40,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that no later plan reads. Any other table is left alone."""
-    if folder := getattr(df, "_written_to", None):
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that no later plan reads. Any other table is left alone."""
+    for df in tables:
+        if folder := getattr(df, "_written_to", None):
+            drop_folder(df.sparkSession, folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents_only(docs: DataFrame, *columns: str) -> DataFrame:
@@ -70,6 +58,16 @@ def documents_only(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(c) if c in docs.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def text_batches(batch: pa.RecordBatch, most_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a piece has at most so many bytes of ``text``, or one row."""
     ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text")).fill_null(0), dtype=np.int64))
@@ -131,21 +129,15 @@ def powers(p: int, n: int) -> np.ndarray:
     return _powers(p, 1 << max(16, int(n).bit_length()))[:n]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of every row, as 64-bit hashes of their bytes; see :func:`token_hashes`."""
-    return token_hashes(_BYTE[data], ~separator[data], starts)
-
-
-def token_hashes(values: np.ndarray, inside: np.ndarray, starts: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of every row, as 64-bit hashes of their characters' ``values``.
+def word_bounds(inside: np.ndarray, starts: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First character and end of each word of all rows, and per row the index of its first word (one more at the end).
 
-    Words are runs of characters that are ``inside``; one that is also ``alone`` is a word by itself.
-    Returns the hashes, each word's first byte and end, and per row the index of its first word
-    (one more entry at the end). A word never crosses a row, as rows are cut at ``starts``.
+    Words are runs of characters that are ``inside``; one that is also ``alone`` is a word by
+    itself. A word never crosses a row, as rows are cut at ``starts``.
     """
-    n = len(values)
+    n = len(inside)
     if n == 0:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
     new_row = np.zeros(n + 1, bool)
     new_row[starts[:-1][starts[:-1] < n]] = True
     cut = new_row[1:n] if alone is None else new_row[1:n] | alone[1:] | alone[:-1]
@@ -154,12 +146,49 @@ def token_hashes(values: np.ndarray, inside: np.ndarray, starts: np.ndarray, alo
     first = np.flatnonzero(begins)
     stops = inside.copy()
     stops[:-1] &= ~inside[1:] | cut
-    end = np.flatnonzero(stops) + 1
+    return first, np.flatnonzero(stops) + 1, np.searchsorted(first, starts)
+
+
+#: Steps after which the rest of a long word is hashed on its own.
+ROUNDS = 8
+
+
+def _chained(first: np.ndarray, end: np.ndarray, width: int, key: int, step, rest) -> np.ndarray:
+    """Hashes of some stretches, ``width`` units a step: ``step`` gives the units at each place, ``rest`` hashes what is left."""
+    size = end - first
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, U64)
-        np.cumsum(values * powers(_P, n), out=total[1:])
-        hashes = mix64((total[end] - total[first]) * powers(_P_INV, n)[first] + (end - first).astype(U64))
-    return hashes, first, end, np.searchsorted(first, starts)
+        out = mix64(size.astype(U64) * U64(0x9FB21C651E98DF25) + U64(key & (1 << 64) - 1))
+        some = np.arange(len(first))
+        for j in range(ROUNDS):
+            some = some[size[some] > j * width]
+            if not len(some):
+                break
+            out[some] = mix64((out[some] ^ step(first[some] + j * width, size[some] - j * width)) * U64(0xD6E8FEB86659FD93) + U64(j))
+        for i in some[size[some] > ROUNDS * width]:
+            out[i] ^= U64(rest(int(first[i]) + ROUNDS * width, int(end[i]), int(out[i])))
+    return out
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, separator: np.ndarray = SEPARATOR, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of every row: 64-bit hashes of their bytes under a key, first bytes, ends, and per row the index of its first word.
+
+    Eight bytes at a time go through a mix that is not linear, and all beyond 64 bytes through
+    xxhash, so no pair of words collides by construction, as under a polynomial modulo 2**64.
+    """
+    first, end, at = word_bounds(~separator[data], starts)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+    def step(place: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return eight[place] & (U64((1 << 64) - 1) >> (U64(64) - U64(8) * np.minimum(left, 8).astype(U64)))
+
+    return _chained(first, end, 8, key, step, lambda a, b, seed: xxhash.xxh3_64_intdigest(data[a:b].tobytes(), seed)), first, end, at
+
+
+def token_hashes(values: np.ndarray, inside: np.ndarray, starts: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`word_hashes`, of words whose characters have the 64-bit ``values``; see :func:`word_bounds`."""
+    first, end, at = word_bounds(inside, starts, alone)
+    return _chained(first, end, 1, 0, lambda place, left: values[place], lambda a, b, seed: xxhash.xxh3_64_intdigest(values[a:b].tobytes(), seed)), first, end, at
 
 
 def shingle_hashes(words: np.ndarray, word_starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,10 +213,17 @@ def shingle_hashes(words: np.ndarray, word_starts: np.ndarray, size: int) -> tup
     return out, at
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Hand Python at most ``rows`` documents at once, so that long texts don't fill a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def bounded_batches(spark: SparkSession, rows: int = 1024, most_bytes: int = 8 << 20) -> None:
+    """Hand Python at most ``rows`` rows and some ``most_bytes`` at once (or one row), so that long texts don't fill a worker.
+
+    The session's own settings stay where they are tighter. They are lowered for good, as plans read
+    them when they run.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", most_bytes)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, most)
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:

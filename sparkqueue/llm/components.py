@@ -85,4 +85,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60, links_a_task:
         mark = tuple(now)
     else:
         raise RuntimeError("the components did not settle")
-    return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
+    stars = edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
+    out = common.written(stars, "components")
+    common.drop_written(edges)
+    return out

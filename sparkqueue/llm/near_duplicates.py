@@ -4,25 +4,35 @@ One hash function orders all shingles. A document's sketch holds its KEPT least
 lists of its LISTED least ones bring together documents that may be alike; the union of two
 sketches estimates their similarity, and what passes is confirmed on the full sets.
 
-No link is lost by design, and no list is paired in full:
+No list is paired in full:
 
 * Documents with equal sets are one class; only classes go on.
 * Lists of up to SHORT classes give all their pairs, each pair once.
 * A value in a longer list is hot. A pair of classes of which one has enough other values meets in
   a short list. Only classes with few other values (large groups of copies, or texts that are
   little more than a common passage) can meet in hot lists alone. Of those, each is compared with
-  the list's least class; and where that leaves a list in several components, blocks of its
-  classes are compared on full sets, between different components only.
+  the list's least class.
+* Where that leaves a list in several components, its classes are listed anew by their rarest
+  shingles: two sets of the similarity asked for share one of the rarest fifth (and, of the smaller
+  set, one of the rarest ninth) of their shingles, in any one order of all shingles. Common
+  shingles come last in that order, so copies meet in lists of their own kind, and what groups have
+  in common makes no pairs.
+* Lists of common shingles that are still long, which are of texts that hold little else, are
+  compared with a few random classes, and only what then remains in several components is compared
+  block against block, between different components.
 * Of the pairs that pass the estimate, first one per class is confirmed, then those that still lie
   between components: links within a component change nothing.
 
-Two sets of similarity 0.8 share none of their union's 16 least hashes with probability 0.2**16.
-The estimate's bound lies more than five standard errors below 0.8.
+A link is missed only by chance: a pair of similarity 0.8 with 16 or more shingles that shares
+fewer than two of the 12 or more values by which it would meet (below 3 in 10 million), or an
+estimate over five standard errors off. A false link needs shingles' 64-bit hashes to collide; the
+hash is keyed anew in every run, so no text can be written to collide.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,29 +48,34 @@ KEPT, LISTED, SHORT = 64, 16, 32
 OTHERS = 11
 #: Of the KEPT least values of a union, so many are shared at least (0.8 * 64 less 5.4 standard errors).
 SHARED = 34
-BLOCK = 512
+#: Classes, and shingles, of a block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Of common shingles, so many of the commonest are known to all tasks (16 bytes each). Others count as rare, which only makes lists longer.
+COMMON = 200_000
+#: Random classes with which what is left of a long list is compared.
+PIVOTS = 3
 
 SKETCH = "doc_id long, tie long, n int, digest binary, sketch binary"
 
 
-def row_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
+def row_sets(batch: pa.RecordBatch, words: int, key: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of the batch, its index and its set of shingle hashes, ascending."""
     done = 0
     for piece in common.text_batches(batch):
         data, starts = common.text_bytes(piece.column("text"))
-        found, _, _, first = common.word_hashes(common.LOWER[data], starts)
+        found, _, _, first = common.word_hashes(common.LOWER[data], starts, key=key)
         shingles, at = common.shingle_hashes(found, first, words)
         for i in range(piece.num_rows):
             yield done + i, np.unique(shingles[at[i] : at[i + 1]])
         done += piece.num_rows
 
 
-def sketched(docs: DataFrame, words: int) -> DataFrame:
+def sketched(docs: DataFrame, words: int, key: int) -> DataFrame:
     """Each row's set size, digest of the full set (null if empty) and sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, s in row_sets(batch, words)]
+            sets = [s for _, s in row_sets(batch, words, key)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -120,14 +135,14 @@ def alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(keep, "a long, b long")
 
 
-def full_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+def full_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, words: int, key: int) -> DataFrame:
     """``cls, values`` (the full set) of the classes in ``needed``, from the texts of their first documents."""
     wanted = classes.join(needed, "cls", "left_semi").select("cls", F.col("cls").alias("doc_id"), "tie")
     texts = common.documents_only(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text")).join(wanted, ["doc_id", "tie"]).select("cls", "tie", "text").dropDuplicates(["cls", "tie"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([s.tobytes() for _, s in row_sets(batch, words)], pa.binary())], names=["cls", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([s.tobytes() for _, s in row_sets(batch, words, key)], pa.binary())], names=["cls", "values"])
 
     return texts.select("cls", "text").mapInArrow(collect, "cls long, values binary")
 
@@ -180,16 +195,109 @@ def links_in_block(cls: np.ndarray, component: np.ndarray, side: np.ndarray, val
     return list(out.values())
 
 
-def links_in_groups(members: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside groups (``leader, cls``) that lie in several components, block against block."""
-    placed = members.join(components.withColumnRenamed("vertex", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    open_groups = placed.groupBy("leader").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members")).where("least != most")
-    placed = placed.join(open_groups.select("leader", "members"), "leader").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+class Linked:
+    """The links found so far, as stars: ``vertex, component``."""
+
+    def __init__(self, classes: DataFrame, sets: DataFrame, percent: int):
+        self.classes, self.sets, self.percent = classes, sets, percent
+        self.components = common.written(classes.select(F.col("cls").alias("vertex"), F.col("cls").alias("component")).limit(0), "components")
+
+    def placed(self, rows: DataFrame, column: str = "cls", name: str = "component") -> DataFrame:
+        """The rows with the component of a class."""
+        of = self.components.select(F.col("vertex").alias(column), F.col("component").alias(name))
+        return rows.join(of, column, "left").withColumn(name, F.coalesce(name, column))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` of different components."""
+        return self.placed(self.placed(pairs, "a", "x"), "b", "y").where("x != y").select("a", "b")
+
+    def add(self, links: DataFrame) -> None:
+        """Take links in; nothing is read again when there are none."""
+        links = common.written(links, "links")
+        if not links.isEmpty():
+            stars = self.components.select(F.col("vertex").alias("a"), F.col("component").alias("b"))
+            old, self.components = self.components, connected_components(links.union(stars))
+            common.drop_written(old)
+        common.drop_written(links)
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Take in those of the pairs (a table) that are links: first one for each class, then what still lies apart."""
+        if pairs.isEmpty():
+            return
+        self.add(confirmed(self.apart(pairs).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), self.sets, self.percent))
+        self.add(confirmed(self.apart(pairs), self.sets, self.percent))
+
+    def try_pairs(self, pairs: DataFrame) -> None:
+        """As :func:`confirm`, of pairs (of any number and order) that the sketches don't rule out."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        passed = common.written(alike(self.apart(pairs), self.classes, self.percent), "pairs")
+        self.confirm(passed)
+        common.drop_written(passed)
+
+    def open(self, members: DataFrame) -> DataFrame:
+        """The members (``leader, cls``) of groups in several components, with their component."""
+        placed = self.placed(members)
+        several = placed.groupBy("leader").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("leader")
+        return common.written(placed.join(several, "leader").select("leader", "cls", "component"), "open")
+
+
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest of the shingles that more than SHORT of the sets hold, ascending, and in how many they are."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v in batch.column("values"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v.as_py(), "<i8"))], names=["value"])
+
+    counted = sets.select("values").mapInArrow(spread, "value long").groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHORT)
+    found = counted.orderBy(F.desc("n"), "value").limit(COMMON).toArrow()
+    value, n = found.column("value").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(value)
+    return value[order], n[order]
+
+
+def rarest_first(values: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """A set's shingles in the order that all sets share: by how common they are, then by hash."""
+    at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+    return values[np.lexsort((values, np.where(known[at] == values, times[at], 0) if len(known) else np.zeros(len(values), np.int64)))]
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``value, cls, n, at, small``: the shingles by which a set of n meets others, and their place in the order.
+
+    ``small`` ones are enough to meet sets that are no smaller.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = shared.value
+        for batch in batches:
+            for cls, v in zip(batch.column("cls").to_pylist(), batch.column("values"), strict=True):
+                ordered = rarest_first(np.frombuffer(v.as_py(), "<u8"), known, times)
+                n = len(ordered)
+                many, few = n + 1 + (-percent * n // 100), n + 1 + (-2 * percent * n // (100 + percent))
+                at = np.arange(many)
+                yield pa.RecordBatch.from_arrays([pa.array(ordered[:many].view(np.int64)), pa.array(np.full(many, cls)), pa.array(np.full(many, n, np.int32)), pa.array(at.astype(np.int32)), pa.array(at < few)], names=["value", "cls", "n", "at", "small"])
+
+    return sets.mapInArrow(spread, "value long, cls long, n int, at int, small boolean")
+
+
+def met_in_short_lists(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different components from lists of up to SHORT entries, the smaller set first, that may yet share enough."""
+    a, b = (lists.select("value", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "at", "small", "component"))) for x in "ab")
+    met = a.where("small_a").join(b, "value").where(F.struct("n_a", "cls_a") < F.struct("n_b", "cls_b")).where("component_a != component_b").where(100 * F.col("n_a") >= percent * F.col("n_b"))
+    shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    return met.where((100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
+
+
+def blocks_against_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside groups (``leader, cls, component``), block against block of bounded size."""
+    sized = members.join(sets, "cls").withColumn("n", (F.octet_length("values") / 8).cast("long"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    dealt = sized.join(sized.groupBy("leader").agg(blocks), "leader").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     facing = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("leader", "cls", "component", "block", facing)
-    dealt = dealt.select("leader", "cls", "component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    dealt = dealt.join(sets, "cls")
+    dealt = dealt.select("leader", "cls", "component", "values", "block", facing)
+    dealt = dealt.select("leader", "cls", "component", "values", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
 
     def compare(table: pa.Table) -> pa.Table:
         cls, component, side = (table.column(c).to_numpy() for c in ("cls", "component", "side"))
@@ -199,6 +307,32 @@ def links_in_groups(members: DataFrame, components: DataFrame, sets: DataFrame,
     return dealt.groupBy("leader", "x", "y").applyInArrow(compare, "a long, b long")
 
 
+def link_open_groups(linked: Linked, members: DataFrame) -> None:
+    """Find the links inside groups (``leader, cls``) that lie in several components."""
+    left = linked.open(members)
+    if left.isEmpty():
+        return
+    own = common.written(linked.sets.join(left.select("cls").distinct(), "cls", "left_semi"), "open-sets")
+    common.drop_written(left)
+    listed = common.written(linked.placed(prefixes(own, linked.percent)), "prefixes")
+    sizes = listed.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.max("small").alias("any"), F.min("cls").alias("leader"), F.min("component").alias("least"), F.max("component").alias("most"))
+    sizes = common.written(sizes.where("any and least != most"), "prefix-sizes")
+    linked.try_pairs(met_in_short_lists(listed.join(sizes.where(F.col("size") <= SHORT).select("value"), "value", "left_semi"), linked.percent))
+    long = common.written(listed.join(sizes.where(F.col("size") > SHORT).select("value", "leader"), "value").select("leader", "cls").distinct(), "long-lists")
+    common.drop_written(listed, sizes)
+    for turn in range(PIVOTS):
+        left = linked.open(long)
+        if left.isEmpty():
+            common.drop_written(left)
+            break
+        pivot = left.groupBy("leader").agg(F.min_by(F.struct(F.col("cls").alias("a"), F.col("component").alias("own")), F.xxhash64("cls", F.lit(turn))).alias("pivot")).select("leader", "pivot.*")
+        linked.try_pairs(left.join(pivot, "leader").where("component != own").select("a", F.col("cls").alias("b")))
+        common.drop_written(left)
+    left = linked.open(long)
+    linked.add(blocks_against_blocks(left, own, linked.percent))
+    common.drop_written(left, long, own)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each document.
 
@@ -218,17 +352,22 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80)
     Rows that repeat in doc_id and text count as one. Other rules as in :func:`near_duplicates`.
     """
     kept = _judged(docs, words, percent).where("kept").groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("times"))
-    kept = common.written(kept.select(F.col("doc_id").alias("_doc_id"), F.col("tie").alias("_tie"), "times"), "kept")
-    marked = docs.withColumn("_text", F.xxhash64("text"))
-    out = marked.join(kept.drop("times"), marked["doc_id"].eqNullSafe(kept["_doc_id"]) & (marked["_text"] == kept["_tie"]), "left_semi")
-    if kept.where("times > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "_text"])
-    return out.drop("_text")
+    id_name, tie_name = common.free_names(docs, "kept_id", "kept_tie")
+    kept = common.written(kept.select(F.col("doc_id").alias(id_name), F.col("tie").alias(tie_name), "times"), "kept")
+    # Names that no column of the documents has; they are gone again at the end.
+    own_tie = common.free_names(docs, "text_tie")[0]
+    marked = docs.withColumn(own_tie, F.xxhash64("text") if "text" in docs.columns else F.xxhash64(F.lit(None).cast("string")))
+    same_id = marked["doc_id"].eqNullSafe(kept[id_name]) if "doc_id" in docs.columns else F.col(id_name).isNull()
+    out = marked.join(kept.drop("times"), same_id & (F.col(own_tie) == F.col(tie_name)), "left_semi")
+    if not kept.where("times > 1").isEmpty():
+        out = out.dropDuplicates([c for c in ("doc_id", own_tie) if c in out.columns])
+    return out.drop(own_tie)
 
 
 def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     common.bounded_batches(docs.sparkSession)
-    rows = common.written(sketched(docs, words), "sketches")
+    key = secrets.randbits(63)
+    rows = common.written(sketched(docs, words, key), "sketches")
     found = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = common.written(found.select("digest", F.col("first.doc_id").alias("cls"), F.col("first.tie").alias("tie"), "n", "sketch"), "classes")
 
@@ -247,25 +386,25 @@ def _judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
     enough = F.when(F.col("n") < LISTED, 100 * F.col("hot") >= percent * F.col("n")).otherwise(F.col("hot") >= LISTED - OTHERS)
     heavy = common.written(hot.groupBy("cls").agg(F.count(F.lit(1)).alias("hot"), F.first("n").alias("n")).where(enough).select("cls"), "heavy")
     hot = common.written(hot.select("value", "cls").join(heavy, "cls"), "hot")
+    common.drop_written(lists, heavy)
     members = hot.join(hot.groupBy("value").agg(F.min("cls").alias("leader")), "value").select("leader", "cls").distinct()
     members = common.written(members, "members")
+    common.drop_written(hot)
     hot_pairs = common.written(alike(members.where("leader != cls").select(F.col("leader").alias("a"), F.col("cls").alias("b")), classes, percent), "hot-pairs")
 
     ends = short_pairs.union(hot_pairs)
-    needed = ends.select(F.col("a").alias("cls")).union(ends.select(F.col("b").alias("cls"))).union(members.select("cls")).distinct()
-    sets = common.written(full_sets(docs, classes, common.written(needed, "needed"), words), "sets")
-
-    # First a pair for each class, then what still lies between components.
-    first = short_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(hot_pairs).distinct()
-    links = common.written(confirmed(first, sets, percent), "links")
-    components = common.written(connected_components(links), "components")
-    of = {x: components.select(F.col("vertex").alias(x), F.col("component").alias(f"component_{x}")) for x in "ab"}
-    apart = short_pairs.join(of["a"], "a", "left").join(of["b"], "b", "left")
-    apart = apart.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b")).select("a", "b")
-    more = common.written(confirmed(apart, sets, percent).union(links_in_groups(members, components, sets, percent)), "more-links")
-    components = connected_components(links.union(more))
-
-    final = classes.select("digest", "cls").join(components.withColumnRenamed("vertex", "cls"), "cls", "left")
+    needed = common.written(ends.select(F.col("a").alias("cls")).union(ends.select(F.col("b").alias("cls"))).union(members.select("cls")).distinct(), "needed")
+    sets = common.written(full_sets(docs, classes, needed, words, key), "sets")
+    common.drop_written(needed)
+
+    linked = Linked(classes, sets, percent)
+    linked.confirm(ends)
+    common.drop_written(short_pairs, hot_pairs)
+    link_open_groups(linked, members)
+    common.drop_written(members, sets)
+
+    final = classes.select("digest", "cls").join(linked.components.withColumnRenamed("vertex", "cls"), "cls", "left")
     final = common.written(final.select("digest", F.coalesce("component", "cls").alias("found")), "class-components")
+    common.drop_written(classes, linked.components)
     component = F.coalesce("found", "doc_id")
     return rows.join(final, "digest", "left").select("doc_id", "tie", "n", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

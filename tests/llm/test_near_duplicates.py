@@ -77,6 +77,79 @@ def test_large_groups_against_brute_force(spark):
     assert sorted(map(tuple, nd.near_duplicates(docs, 4).collect())) == brute_force(rows, 4)
 
 
+def test_words_that_collide_under_polynomials_stay_apart(spark):
+    """Thue-Morse words: a polynomial modulo 2**64 gives both the same hash, whatever its odd multiplier."""
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    rows = []
+    for k, n in enumerate((64, 1024, 2048, 4096)):
+        rows += [(2 * k, f"x{k} {a[:n]}"), (2 * k + 1, f"x{k} {a[:n].translate(str.maketrans('ab', 'ba'))}")]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i in range(8)]
+
+
+def kinds_under_a_passage(r, kinds, copies, passage, own):
+    """Kinds of texts, each of near copies, that all hold one passage."""
+    word = lambda: f"w{r.randrange(10**6)}"
+    shared = [word() for _ in range(passage)]
+    rows = []
+    for _ in range(kinds):
+        base = shared + [word() for _ in range(own)]
+        rows += [" ".join(edited(r, base, r.randrange(0, 4))) for _ in range(copies)]
+    r.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("passage, own", [(60, 40), (85, 15), (95, 5)])
+def test_many_kinds_under_one_passage(spark, passage, own):
+    rows = kinds_under_a_passage(random.Random(passage), 12, 50, passage, own)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, nd.near_duplicates(docs, 4).collect())) == brute_force(rows, 4)
+
+
+def test_texts_of_common_passages_alone(spark, monkeypatch):
+    """Every shingle is common: the last resort, blocks, has to find what lists and pivots don't."""
+    r = random.Random(11)
+    passages = [[f"p{i}w{j}" for j in range(12)] for i in range(14)]
+    rows = []
+    for _ in range(150):
+        picked = r.sample(range(14), 9)
+        rows.append([w for i in sorted(picked) for w in passages[i]])
+        rows.append([*rows[-1][:-4], "x"])
+    rows = list(enumerate(" ".join(w) for w in rows))
+    monkeypatch.setattr(nd, "SHORT", 4)
+    monkeypatch.setattr(nd, "PIVOTS", 1)
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 3000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, nd.near_duplicates(docs, 4).collect())) == brute_force(rows, 4)
+
+
+def test_prefixes_meet_what_is_similar():
+    """Any two sets of the similarity share a prefix shingle, in any order, and the bound on places lets them pass."""
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        a = np.unique(r.integers(0, 200, r.integers(1, 80))).astype(np.uint64)
+        b = np.unique(np.concatenate((r.permutation(a)[: r.integers(1, len(a) + 1)], r.integers(0, 200, r.integers(0, 6)).astype(np.uint64))))
+        if len(a) > len(b):
+            a, b = b, a
+        if 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
+            continue
+        known = np.unique(r.integers(0, 200, 40)).astype(np.uint64)
+        times = r.integers(33, 99, len(known))
+        x, y = (nd.rarest_first(s, known, times) for s in (a, b))
+        few, many = len(x) + 1 + (-160 * len(x) // 180), len(y) + 1 + (-80 * len(y) // 100)
+        met = [(i, j) for i in range(few) for j in range(many) if x[i] == y[j]]
+        assert any(180 * min(len(x) - i, len(y) - j) >= 80 * (len(x) + len(y)) for i, j in met)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "one two three four five six", 9), (2, "one two three four five six", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_tie long").selectExpr("*", "text_tie as _text", "text_tie as kept_id", "text_tie as times", "text_tie as digest")
+    got = nd.without_near_duplicates(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "one two three four five six", 9, 9, 9, 9, 9)]
+
+
 def test_edge_cases(awkward, no_rows):
     got = nd.near_duplicates(awkward, 4).collect()
     assert len(got) == awkward.count()
