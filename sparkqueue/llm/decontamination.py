@@ -7,16 +7,19 @@ words if some stretch of it can be turned into the item by at most L * (100 - pe
 or if it holds the item's N characters (those of words alone) with at most a quarter of that share of N
 edited, where that is one edit or more: so typos in many words don't hide a passage.
 
-The search embeds the item-sized window at each word of a document with a CGK random walk: step j
+The search embeds the part-sized window at each word of a document with a CGK random walk: step j
 writes the word under the pointer, and moves the pointer on or not as a random function of that
 word and j says. Few edits change few steps, so edit distance becomes Hamming distance, and sampling
-some steps is a locality-sensitive hash for it. Windows and items whose sampled steps agree are
-candidates. Walks and samples are repeated until items with as many edits as allowed are found with
-the target recall, which is simulated when the index is built, and until each item lies whole inside
-one walk, by which all its exact copies are found. Where that takes too many walks
-(long items), the class is searched without loss instead: an item is cut into one piece more than
-its allowed edits, so a match holds one of them whole, and all places of all pieces are candidates.
-Each candidate is then confirmed by the exact edit distance.
+some steps is a locality-sensitive hash for it. Windows and parts of items whose sampled steps agree
+are candidates. An item of fewer than twice PART words is one part. A longer one is cut into parts of
+PART words and more, with their share of the allowed edits each: at least one of them keeps to its
+share in any match, so the cost of a long item grows with its length alone. Walks and samples are
+repeated until parts with as many edits as allowed are found with the target recall, which is
+simulated when the index is built, and until each part lies whole inside one walk, by which all its
+exact copies are found. Where ``most_walks`` walks don't get there (as for few percents alike), the
+parts' items are searched without loss instead: an item is cut into one piece more than its allowed
+edits, so a match holds one of them whole, and all places of all pieces are candidates. Each
+candidate is confirmed by the exact edit distance, of the part and then of the whole item.
 
 Before walking, a window is passed over if too few of its word pairs occur in any item at all. An
 edit spoils two of an item's word pairs at most, so this is a necessary condition of a match and
@@ -48,12 +51,14 @@ UNSPACED = (
 #: What a character is: between words, part of one, a word by itself, or nothing (format characters).
 APART, PART, ALONE, NOTHING = range(4)
 
+#: Words of a long item's parts, at least.
+PART = 12
 #: Steps that a hash samples, and steps walked for each word of the shortest item of a class.
 SAMPLED, STEPS = 4, 2
 PAIR_BITS = 22
 #: Sizes by which pieces of at least the first are looked for.
 HEADS = (9, 12, 16, 32, 64, 128)
-#: Bytes of text that a task searches in one go.
+#: Bytes of text that a task searches in one go; a longer text is taken in overlapping stretches.
 BYTES_AT_ONCE = 12_000_000
 
 
@@ -81,7 +86,10 @@ def characters() -> tuple[np.ndarray, np.ndarray]:
 
 def symbols_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and kind of each character of all rows, and where each row starts (one more at the end)."""
-    data, starts = common.text_bytes(texts)
+    return _symbols(*common.text_bytes(texts))
+
+
+def _symbols(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kinds, hashes = characters()
     if len(data) and data.max() >= 128:
         # The bytes after a character's first are folded into it.
@@ -174,9 +182,37 @@ def least_distance(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return row.min(axis=1)
 
 
+def stretches(data: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hash and kind of the characters of one long text, some ``size`` bytes at a time; no word is cut."""
+    held = [np.zeros(0, U64), np.zeros(0, np.uint8)]
+    at, n = 0, len(data)
+    while at < n:
+        end = min(n, at + size)
+        while end < n and data[end] & 0xC0 == 0x80:
+            end += 1
+        values, kind, _ = _symbols(data[at:end], np.array([0, end - at]))
+        held, at = [np.concatenate((held[0], values)), np.concatenate((held[1], kind))], end
+        # As far as a character that no word goes on after.
+        whole = np.flatnonzero(held[1] != PART)
+        cut = len(held[1]) if at == n else int(whole[-1]) + 1 if len(whole) else 0
+        if cut:
+            yield held[0][:cut], held[1][:cut]
+            held = [held[0][cut:], held[1][cut:]]
+
+
+@dataclass(frozen=True)
+class Part:
+    """Words ``at`` to ``at + size`` of an item, and how many of them may be edited."""
+
+    item: int
+    at: int
+    size: int
+    allowed: int
+
+
 @dataclass
 class SizeClass:
-    """Items of like length, with the hashes of their repeated walks.
+    """Parts of like length, with the hashes of their repeated walks.
 
     ``reach`` words from its start hold any match, with ``pairs`` known word pairs at least.
     """
@@ -187,7 +223,7 @@ class SizeClass:
     steps: list[np.ndarray] = field(default_factory=list)
     salts: list[int] = field(default_factory=list)
     hashes: list[np.ndarray] = field(default_factory=list)
-    items: list[np.ndarray] = field(default_factory=list)
+    parts: list[np.ndarray] = field(default_factory=list)
 
 
 @dataclass
@@ -207,23 +243,38 @@ class Pieces:
 class ItemIndex:
     """The index of some benchmark items: ``search`` finds which rows hold which."""
 
-    def __init__(self, ids: list[int], texts: list[str], percent: int = 80, recall: float = 0.97, seed: int = 1, most_walks: int = 1000):
+    def __init__(self, ids: list[int], texts: list[str], percent: int = 80, recall: float = 0.985, seed: int = 1, most_walks: int = 1000):
         words, first = words_of(pa.array(texts, pa.string()))
         self._fill(ids, {i: words[a:b] for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)) if b > a}, percent)
         self.classes: list[SizeClass] = []
-        whole: list[int] = []
+        self.parts = self._parts(percent)
+        whole: set[int] = set()
         r = np.random.default_rng(seed)
-        rest = sorted(self.words, key=lambda i: len(self.words[i]))
+        rest = sorted(range(len(self.parts)), key=lambda p: (self.parts[p].size, p))
         while rest:
-            least = len(self.words[rest[0]])
-            own = [i for i in rest if len(self.words[i]) <= least * 5 // 4]
+            least = self.parts[rest[0]].size
+            own = [p for p in rest if self.parts[p].size <= least * 5 // 4]
             rest = rest[len(own) :]
             if made := self._class(own, least, recall, r, most_walks):
                 self.classes.append(made)
             else:
-                whole += own
-        self.pieces = self._cut(whole)
+                whole |= {self.parts[p].item for p in own}
+        self.pieces = self._cut(sorted(whole))
         self.letters = LetterIndex(ids, texts, 100 - (100 - percent) / 4)
+        self.reach = max((len(w) + 4 * self.allowed[i] + 16 for i, w in self.words.items()), default=1)
+
+    def _parts(self, percent: float) -> list[Part]:
+        """Each item as one part, or as several of PART words and more."""
+        out = []
+        for i, w in self.words.items():
+            many = max(1, len(w) // PART)
+            edges = [j * len(w) // many for j in range(many + 1)]
+            out += [Part(i, a, b - a, int((b - a) * (100 - percent) // 100)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return out
+
+    def _own(self, p: int) -> np.ndarray:
+        part = self.parts[p]
+        return self.words[part.item][part.at : part.at + part.size]
 
     def _fill(self, ids: list[int], parts: dict[int, np.ndarray], percent: float) -> None:
         self.ids, self.words = ids, parts
@@ -254,7 +305,7 @@ class ItemIndex:
 
     def _class(self, own: list[int], least: int, recall: float, r: np.random.Generator, most_walks: int) -> SizeClass | None:
         """The walks of a class, or none if ``most_walks`` can't reach the recall."""
-        sizes = [(len(self.words[i]), self.allowed[i]) for i in own]
+        sizes = [(self.parts[p].size, self.parts[p].allowed) for p in own]
         made = SizeClass(least, max(n + k for n, k in sizes), max(0, min(n - 1 - 2 * k for n, k in sizes)))
         reach = STEPS * least
         many = min(SAMPLED, reach)
@@ -262,6 +313,9 @@ class ItemIndex:
         missed = np.ones(len(tries), bool)
         tried = np.concatenate([np.concatenate((w, np.zeros(reach + 1, U64))) for _, w in tries])
         tried_at = np.concatenate(([0], np.cumsum([len(w) + reach + 1 for _, w in tries[:-1]])))[:, None] + np.arange(5)
+        padded = np.concatenate([np.concatenate((self._own(p), np.zeros(reach + 1, U64))) for p in own])
+        at = np.concatenate(([0], np.cumsum([self.parts[p].size + reach + 1 for p in own[:-1]]))).astype(np.int64)
+        ends = np.array([self.parts[p].size for p in own])
         indexed: set[int] = set()
         before = 1.0
         while missed.mean() > 1 - recall or len(indexed) < len(own):
@@ -277,29 +331,27 @@ class ItemIndex:
             edges = np.linspace(0, reach, many + 1).astype(int)
             steps = np.array([r.integers(a, max(b, a + 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
             salt = int(r.integers(1, 1 << 62))
-            padded = np.concatenate([np.concatenate((self.words[i], np.zeros(reach + 1, U64))) for i in own])
-            at = np.concatenate(([0], np.cumsum([len(self.words[i]) + reach + 1 for i in own[:-1]]))).astype(np.int64)
             hashes, last = walk(padded, at, steps, salt)
-            # A walk that left its item says nothing about it.
-            inside = last - at < np.array([len(self.words[i]) for i in own])
+            # A walk that left its part says nothing about it.
+            inside = last - at < ends
             order = np.argsort(hashes[inside], kind="stable")
             made.steps.append(steps)
             made.salts.append(salt)
             made.hashes.append(hashes[inside][order])
-            made.items.append(np.array(own)[inside][order])
+            made.parts.append(np.array(own)[inside][order])
             mine = dict(zip(np.array(own)[inside].tolist(), hashes[inside].tolist(), strict=True))
             indexed |= mine.keys()
             met = walk(tried, tried_at.ravel(), steps, salt)[0].reshape(tried_at.shape)
-            missed &= [i not in mine or mine[i] not in row for (i, _), row in zip(tries, met.tolist(), strict=True)]
+            missed &= [p not in mine or mine[p] not in row for (p, _), row in zip(tries, met.tolist(), strict=True)]
         return made
 
     def _edited(self, own: list[int], r: np.random.Generator, tries: int = 240) -> list[tuple[int, np.ndarray]]:
-        """Items of a class with as many random edits as allowed, after two other words."""
+        """Parts of a class with as many random edits as allowed, after two other words."""
         out = []
         for k in range(tries):
-            i = own[k % len(own)]
-            w = list(self.words[i])
-            for _ in range(self.allowed[i]):
+            p = own[k % len(own)]
+            w = list(self._own(p))
+            for _ in range(self.parts[p].allowed):
                 kind, at = r.integers(3), int(r.integers(len(w)))
                 new = U64(r.integers(1, 1 << 62))
                 if kind == 0:
@@ -308,7 +360,7 @@ class ItemIndex:
                     w.insert(at, new)
                 elif len(w) > 1:
                     del w[at]
-            out.append((i, np.array([*r.integers(1, 1 << 62, 2), *w, *r.integers(1, 1 << 62, 4)], U64)))
+            out.append((p, np.array([*r.integers(1, 1 << 62, 2), *w, *r.integers(1, 1 << 62, 4)], U64)))
         return out
 
     def search(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
@@ -327,39 +379,76 @@ class ItemIndex:
             at = np.flatnonzero(total[end - 1] - total[places] >= c.pairs)
             if not len(at):
                 continue
-            for steps, salt, hashes, items in zip(c.steps, c.salts, c.hashes, c.items, strict=True):
+            for steps, salt, hashes, parts in zip(c.steps, c.salts, c.hashes, c.parts, strict=True):
                 found, _ = walk(padded, at, steps, salt)
                 low = np.searchsorted(hashes, found)
                 high = np.searchsorted(hashes, found, "right")
                 for k in np.flatnonzero(high > low):
-                    for i in items[low[k] : high[k]]:
-                        met.setdefault(int(i), set()).add(int(at[k]))
-        out = []
-        for i, starts in met.items():
+                    for p in parts[low[k] : high[k]]:
+                        met.setdefault(int(p), set()).add(int(at[k]))
+        out, far = [], [np.zeros((3, 0), np.int64)]
+        for p, starts in met.items():
+            part = self.parts[p]
             at = np.array(sorted(starts))
-            best = self._confirm(i, at, row_of[at], len(self.words[i]) + 2 * self.allowed[i] + 8, padded, first)
-            out += [(row, i, d) for row, d in best.items()]
-        return out + self._search_pieces(words, row_of, row_end, total, padded, first)
+            d = self._distances(self._own(p), at - part.allowed - 4, row_of[at], part.size + 2 * part.allowed + 8, padded, first)
+            holds = d <= part.allowed
+            if part.size == len(self.words[part.item]):
+                best: dict[int, int] = {}
+                for row, x in zip(row_of[at[holds]].tolist(), d[holds].tolist(), strict=True):
+                    best[row] = min(x, best.get(row, x))
+                out += [(row, part.item, x) for row, x in best.items()]
+            else:
+                far.append(np.stack((np.full(int(holds.sum()), part.item), row_of[at[holds]], at[holds] - part.at)))
+        far += self._met_by_pieces(words, row_of, row_end)
+        return out + self._whole(*np.concatenate(far, axis=1), total, padded, first)
 
     def search_texts(self, texts: list[pa.Array]) -> list[tuple[int, int, int]]:
         """``row, item, distance`` of the rows of all ``texts`` in turn, by words or by characters.
 
         The distance is in words either way; by characters alone it is beyond the allowed edits.
         """
-        parts, alike, rows = [], [], 0
+        parts, alike, rows, out = [], [], 0, []
         for t in texts:
-            symbols = symbols_of(t)
+            data, starts = common.text_bytes(t)
+            if len(data) > 2 * BYTES_AT_ONCE:
+                out += [(rows, i, d) for i, d in self.search_long(data)]
+                data, starts = data[:0], np.zeros_like(starts)
+            symbols = _symbols(data, starts)
             parts.append(_words(*symbols))
             alike += [(rows + row, i) for row, i, _ in self.letters.search(*_letters(*symbols))]
             rows += len(t)
         words = np.concatenate([w for w, _ in parts])
         first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts])))).astype(np.int64)
-        out = self.search(words, first)
+        out += self.search(words, first)
         met = {(row, i) for row, i, _ in out}
         return out + [(row, i, int(least_distance(self.words[i], words[None, first[row] : first[row + 1]])[0])) for row, i in alike if (row, i) not in met]
 
-    def _search_pieces(self, words: np.ndarray, row_of: np.ndarray, row_end: np.ndarray, total: np.ndarray, padded: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
-        """``row, item, distance`` for the items cut into pieces. Nothing is missed."""
+    def search_long(self, data: np.ndarray) -> list[tuple[int, int]]:
+        """``item, distance`` of one long text, stretch by stretch; each begins with the last one's end, as far as a match can reach."""
+        best: dict[int, int] = {}
+        alike: set[int] = set()
+
+        def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            words = letters = np.zeros(0, U64)
+            for values, kind in stretches(data, BYTES_AT_ONCE):
+                own = np.array([0, len(values)])
+                words = np.concatenate((words[-self.reach :], _words(values, kind, own)[0]))
+                letters = np.concatenate((letters[-self.letters.reach :], _letters(values, kind, own)[0]))
+                yield words, letters
+
+        for words, letters in each():
+            for _, i, d in self.search(words, np.array([0, len(words)])):
+                best[i] = min(d, best.get(i, d))
+            alike |= {i for _, i, _ in self.letters.search(letters, np.array([0, len(letters)]))}
+        if rest := alike - best.keys():
+            for words, _ in each():
+                for i in rest:
+                    d = int(least_distance(self.words[i], words[None, :])[0])
+                    best[i] = min(d, best.get(i, d))
+        return list(best.items())
+
+    def _met_by_pieces(self, words: np.ndarray, row_of: np.ndarray, row_end: np.ndarray) -> list[np.ndarray]:
+        """Item, row and start of all places of all pieces of the items that are cut into pieces. Nothing is missed."""
         parts = []
         for p in self.pieces:
             found = runs_of(words, p.size)
@@ -370,40 +459,42 @@ class ItemIndex:
             nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             which, place = np.repeat(low, many) + nth, np.repeat(at, many)
             parts.append(np.stack((p.items[which], row_of[place], place - p.offsets[which])))
-        if not parts:
+        return parts
+
+    def _whole(self, items: np.ndarray, rows: np.ndarray, starts: np.ndarray, total: np.ndarray, padded: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+        """``row, item, distance`` of the items that lie where they seem to start."""
+        if not len(items):
             return []
-        items, rows, starts = np.concatenate(parts, axis=1)
         # Starts of 2k + 1 neighbouring words are confirmed together.
         span = 2 * np.array([self.allowed.get(i, 0) for i in range(len(self.ids))]) + 1
-        starts -= (starts - first[rows]) % span[items]
+        starts = starts - (starts - first[rows]) % span[items]
         items, rows, starts = np.unique(np.stack((items, rows, starts)), axis=1)
         out = []
-        edges = np.flatnonzero(np.diff(items, prepend=-1, append=-1)) if len(items) else []
+        edges = np.flatnonzero(np.diff(items, prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             i, at, own = int(items[a]), starts[a:b], rows[a:b]
-            k = self.allowed[i]
-            width = len(self.words[i]) + 4 * k + 8
+            n, k = len(self.words[i]), self.allowed[i]
+            width = n + 4 * k + 8
             low = np.clip(at - k - 4, first[own], first[own + 1])
             high = np.clip(at - k - 4 + width, low + 1, np.maximum(low + 1, first[own + 1]))
-            enough = total[high - 1] - total[low] >= len(self.words[i]) - 1 - 2 * k
-            best = self._confirm(i, at[enough], own[enough], width, padded, first)
+            enough = total[high - 1] - total[low] >= n - 1 - 2 * k
+            best: dict[int, int] = {}
+            for row, d in zip(own[enough].tolist(), self._distances(self.words[i], at[enough] - k - 4, own[enough], width, padded, first).tolist(), strict=True):
+                if d <= k:
+                    best[row] = min(d, best.get(row, d))
             out += [(row, i, d) for row, d in best.items()]
         return out
 
-    def _confirm(self, i: int, starts: np.ndarray, rows_of: np.ndarray, width: int, padded: np.ndarray, first: np.ndarray) -> dict[int, int]:
-        """The least distance of the item in each row where ``width`` words about a start hold it."""
-        item, k = self.words[i], self.allowed[i]
-        best: dict[int, int] = {}
+    def _distances(self, item: np.ndarray, starts: np.ndarray, rows_of: np.ndarray, width: int, padded: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The least distance of the words ``item`` in ``width`` words from each start, of its row alone."""
+        out = np.zeros(len(starts), np.int64)
         step = max(1, min(2048, 2_000_000 // width))
         for at in range(0, len(starts), step):
             some, rows = starts[at : at + step], rows_of[at : at + step]
-            place = (some - k - 4)[:, None] + np.arange(width)[None, :]
+            place = some[:, None] + np.arange(width)[None, :]
             inside = (place >= first[rows][:, None]) & (place < first[rows + 1][:, None])
-            texts = np.where(inside, padded[np.clip(place, 0, len(padded) - 1)], U64(0))
-            for row, d in zip(rows.tolist(), least_distance(item, texts).tolist(), strict=True):
-                if d <= k and d < best.get(row, k + 1):
-                    best[row] = d
-        return best
+            out[at : at + step] = least_distance(item, np.where(inside, padded[np.clip(place, 0, len(padded) - 1)], U64(0)))
+        return out
 
 
 class LetterIndex(ItemIndex):
@@ -413,11 +504,12 @@ class LetterIndex(ItemIndex):
         letters, first = letters_of(pa.array(texts, pa.string()))
         parts = {i: letters[a:b] for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True))}
         self._fill(ids, {i: w for i, w in parts.items() if len(w) * (100 - percent) >= 100}, percent)
-        self.classes = []
+        self.classes, self.parts = [], []
         self.pieces = self._cut(list(self.words))
+        self.reach = max((len(w) + 4 * self.allowed[i] + 16 for i, w in self.words.items()), default=1)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, recall: float = 0.97, slice_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, recall: float = 0.985, slice_items: int = 20_000) -> DataFrame:
     """``doc_id, item_id, distance`` (word edits) for each document and each item that it holds.
 
     The distance is beyond the allowed share where a document holds an item by character edits alone.
@@ -435,7 +527,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, recal
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, recall: float = 0.97, slice_items: int = 20_000) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, recall: float = 0.985, slice_items: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; one pass a slice, no join.
 
     Null and wordless texts hold nothing and stay; repeated rows and null doc_ids are judged

@@ -171,3 +171,57 @@ def test_typos_in_many_words():
     assert far == 12
     found = index.search_texts([pa.array(docs[:5]), pa.array([None, *docs[5:], "no item at all in here"])])
     assert {(row, i) for row, i, _ in found} == {(k + (k >= 5), k % 4) for k in range(12)}
+
+
+@pytest.mark.parametrize("size", [5, 12, 23, 24, 50, 100, 200, 500, 1000, 2000])
+def test_recall_at_the_allowed_edits_and_cost_of_long_items(size):
+    import time
+
+    r = random.Random(size)
+    items = [[f"v{r.randrange(5000)}" for _ in range(size)] for _ in range(6)]
+    index = dc.ItemIndex(list(range(6)), [" ".join(w) for w in items])
+    assert index.classes and not index.pieces
+    many = 200 if size <= 100 else 40
+    docs = [["other"] * (k % 3) + edited(items[k % 6], size // 5, r) + ["words"] * (k % 5) for k in range(many)]
+    texts = pa.array([" ".join(w) for w in docs])
+    began = time.perf_counter()
+    found = {(row, i) for row, i, _ in index.search(*dc.words_of(texts))}
+    assert time.perf_counter() - began < 0.1 * many + 0.5
+    assert len(found & {(k, k % 6) for k in range(many)}) >= 0.95 * many
+
+
+@pytest.mark.parametrize("size", [30, 120, 600])
+def test_edited_items_in_scripts_without_spaces(size):
+    r = random.Random(size)
+    letter = lambda: chr(r.randrange(0x4E00, 0x9FA5))
+    items = ["".join(letter() for _ in range(size)) for _ in range(5)]
+    index = dc.ItemIndex(list(range(5)), items)
+    docs = []
+    for k in range(60):
+        own = list(items[k % 5])
+        for at in sorted(r.sample(range(size), size // 6), reverse=True):
+            own[at : at + 1] = [[letter()], [letter(), own[at]], []][r.randrange(3)]
+        docs.append("".join(letter() for _ in range(r.randrange(40))) + "".join(own) + "，" + letter() * 9)
+    found = {(row, i) for row, i, _ in index.search(*dc.words_of(pa.array(docs)))}
+    assert found <= {(k, k % 5) for k in range(60)} and len(found) >= 57
+
+
+def test_long_texts_are_searched_in_stretches(monkeypatch):
+    docs, items = planted(3, 0.08)
+    long = [" ".join(t for _, t in docs), "é" * 3000 + " " + items[6][1] + " " + "z" * 3000, "漢" * 2000 + items[4][1] + "字" * 2000]
+    index = dc.ItemIndex([i for i, _ in items], [t for _, t in items])
+    plain = index.search_texts([pa.array([t]) for t in long])
+    assert len(plain) > 10
+    for size in (100, 1500):
+        monkeypatch.setattr(dc, "BYTES_AT_ONCE", size)
+        for row, t in enumerate(long):
+            assert sorted(index.search_texts([pa.array([t])])) == sorted((0, i, d) for k, i, d in plain if k == row)
+
+
+def test_stretches_cut_no_word():
+    texts = ["one two three four " * 9, "漢字かな" * 20, "ab\u200dcd " * 20, "x" * 500, ""]
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        whole = dc.words_of(pa.array([t]))[0]
+        got = [dc._words(v, k, np.array([0, len(v)]))[0] for v, k in dc.stretches(data, 37)]
+        assert np.array_equal(np.concatenate([np.zeros(0, np.uint64), *got]), whole)
