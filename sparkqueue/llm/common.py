@@ -55,7 +55,7 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
 def documents_only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns of ``docs``; a name it lacks comes as null, other columns go."""
     kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
-    return docs.select(*(F.col(c) if c in docs.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns))
+    return docs.select(*(docs[c] if c in docs.columns else F.lit(None).cast(kinds[c]).alias(c) for c in columns))
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
@@ -169,20 +169,25 @@ def _chained(first: np.ndarray, end: np.ndarray, width: int, key: int, step, res
     return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, separator: np.ndarray = SEPARATOR, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of every row: 64-bit hashes of their bytes under a key, first bytes, ends, and per row the index of its first word.
+def byte_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of some stretches of bytes, under a key.
 
     Eight bytes at a time go through a mix that is not linear, and all beyond 64 bytes through
     xxhash, so no pair of words collides by construction, as under a polynomial modulo 2**64.
     """
-    first, end, at = word_bounds(~separator[data], starts)
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
     def step(place: np.ndarray, left: np.ndarray) -> np.ndarray:
         return eight[place] & (U64((1 << 64) - 1) >> (U64(64) - U64(8) * np.minimum(left, 8).astype(U64)))
 
-    return _chained(first, end, 8, key, step, lambda a, b, seed: xxhash.xxh3_64_intdigest(data[a:b].tobytes(), seed)), first, end, at
+    return _chained(first, end, 8, key, step, lambda a, b, seed: xxhash.xxh3_64_intdigest(data[a:b].tobytes(), seed))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, separator: np.ndarray = SEPARATOR, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of every row: hashes of their bytes under a key, first bytes, ends, and per row the index of its first word (one more at the end)."""
+    first, end, at = word_bounds(~separator[data], starts)
+    return byte_hashes(data, first, end, key), first, end, at
 
 
 def token_hashes(values: np.ndarray, inside: np.ndarray, starts: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

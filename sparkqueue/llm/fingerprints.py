@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -84,40 +85,69 @@ def containment(a: dict[str, int], b: dict[str, int]) -> float:
     return sum(n for digest, n in a.items() if digest in b) / sum(a.values())
 
 
-def in_next_order(docs: DataFrame) -> tuple[DataFrame, int]:
+#: Partitions, at most, and sampled places for each; a partition is sorted and streamed, so its size bounds no memory.
+MOST_PARTS, SAMPLED = 20_000, 30
+
+
+def bounds_of(sample: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds ``place, within`` that cut rows like the ``sample`` of places into even parts.
+
+    A doc_id (or the lack of one) that takes several parts is cut by hash.
+    """
+    if parts < 2 or not len(sample):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cut = np.sort(sample)[np.arange(1, parts) * len(sample) // parts]
+    place, times = np.unique(cut, return_counts=True)
+    within = [(k << 64) // (n + 1) - (1 << 63) if n > 1 else -(1 << 63) for n in times.tolist() for k in (range(1, n + 1) if n > 1 else (0,))]
+    return np.repeat(place, times), np.array(within, np.int64)
+
+
+def part_of(bounds: tuple[np.ndarray, np.ndarray], place: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """The number of bounds at or below each place."""
+    low, high = np.searchsorted(bounds[0], place), np.searchsorted(bounds[0], place, "right")
+    for i in np.flatnonzero(high > low):
+        high[i] = low[i] + np.searchsorted(bounds[1][low[i] : high[i]], within[i], "right")
+    return high.astype(np.int32)
+
+
+def in_next_order(docs: DataFrame) -> DataFrame:
     """Documents in descending doc_id order, cut into partitions that each end with the row that follows.
 
-    Bounds come from doc_id quantiles. A partition's last document needs the first of the next
+    Bounds come from a sample of doc_ids. A partition's last document needs the first of the next
     lower partition (and the lowest document the highest of all): those heads, one a partition,
     are dealt to both, ``ahead`` marking the copy. So nothing but the range is sorted, and no task
-    sees more than its range. Null doc_ids come after all others; equal ones in the order of
-    their texts' hashes, then texts.
+    sees more than its range. Null doc_ids come after all others; rows of equal doc_id in the order of
+    their texts' hashes, then texts, and many of them are cut by hash as well. Only equal rows can't
+    be told apart and lie together.
     """
-    n = common.partitions_for(docs)
+    spark = docs.sparkSession
     least = -(1 << 63)
-    rows = common.documents_only(docs, "doc_id", "text").withColumn("place", F.coalesce("doc_id", F.lit(least)))
-    bounds = sorted(set(rows.select(F.col("place").cast("double")).approxQuantile("place", [i / n for i in range(1, n)], max(0.1 / n, 1e-6)))) if n > 1 else []
-    bounds = [int(b) for b in bounds]
-    # The number of bounds at or below: first among every step-th bound, then among that stretch.
-    step = max(1, int(len(bounds) ** 0.5))
-    listed = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>")
-    coarse = F.array(*map(F.lit, bounds[::step])) if bounds else listed
-    below = F.size(F.filter(coarse, lambda b: b <= F.col("place")))
-    within = F.size(F.filter(F.slice(listed, F.greatest(below - 1, F.lit(0)) * step + 1, step), lambda b: b <= F.col("place")))
-    part = F.when(below == 0, 0).otherwise((below - 1) * step + within).cast("int") if bounds else F.lit(0)
-    places = rows.select("place", part.alias("part"))
-    heads = sorted((r.part, r.head) for r in places.groupBy("part").agg(F.max("place").alias("head")).collect())
-    if not heads:
-        return rows.select("doc_id", "text", F.lit(0).alias("part"), F.lit(False).alias("ahead")), 1
+    rows = common.documents_only(docs, "doc_id", "text").withColumns({"place": F.coalesce("doc_id", F.lit(least)), "within": F.bitwise_not(F.xxhash64("text"))})
+    many = rows.count()
+    parts = max(1, min(common.partitions_for(docs), MOST_PARTS, many))
+    share = min(1.0, SAMPLED * parts * 1.5 / max(1, many))
+    sample = np.array([r.place for r in rows.select("place").sample(fraction=share, seed=1).collect()], np.int64)
+    shared = spark.sparkContext.broadcast(bounds_of(sample, parts))
+
+    @F.pandas_udf("int")
+    def part(place: pd.Series, within: pd.Series) -> pd.Series:
+        return pd.Series(part_of(shared.value, place.to_numpy(), within.to_numpy()))
+
+    heads = rows.select("place", "within", part("place", "within").alias("part")).groupBy("part").agg(F.max(F.struct("place", "within")).alias("head")).collect()
+    heads = sorted((r.part, r.head.place, r.head.within) for r in heads)
     # The copy of a head goes to the next higher partition, and the highest head to the lowest one.
-    copies = [(head, heads[(i + 1) % len(heads)][0]) for i, (_, head) in enumerate(heads)]
-    spark = docs.sparkSession
-    copy = F.broadcast(spark.createDataFrame(copies, "place long, copy int"))
-    dealt = rows.withColumn("part", part).join(copy, "place", "left")
-    to = F.when(F.col("copy").isNull(), F.array(F.struct("part", F.lit(False).alias("ahead")))).otherwise(F.array(F.struct("part", F.lit(False).alias("ahead")), F.struct(F.col("copy").alias("part"), F.lit(True).alias("ahead"))))
-    dealt = dealt.select("doc_id", "text", "place", F.explode(to).alias("to")).select("doc_id", "text", "place", "to.part", "to.ahead")
-    order = ["part", "ahead", F.col("place").desc(), F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text"]
-    return dealt.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(*order).drop("place"), len(bounds) + 1
+    copies = spark.sparkContext.broadcast({(place, within): heads[(i + 1) % len(heads)][0] for i, (_, place, within) in enumerate(heads)})
+
+    @F.pandas_udf("int")
+    def copy(place: pd.Series, within: pd.Series) -> pd.Series:
+        return pd.Series([copies.value.get(x) for x in zip(place.tolist(), within.tolist(), strict=True)], dtype="Int32")
+
+    dealt = rows.withColumns({"part": part("place", "within"), "copy": copy("place", "within")})
+    own = F.struct("part", F.lit(False).alias("ahead"))
+    to = F.when(F.col("copy").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("copy").alias("part"), F.lit(True).alias("ahead"))))
+    dealt = dealt.select("doc_id", "text", "place", "within", F.explode(to).alias("to")).select("doc_id", "text", "place", "within", "to.part", "to.ahead")
+    order = ["part", "ahead", F.col("place").desc(), F.col("doc_id").desc_nulls_last(), F.col("within").desc(), "text"]
+    return dealt.repartitionById(max(1, len(bounds_of(sample, parts)[0]) + 1), F.col("part")).sortWithinPartitions(*order).select("doc_id", "text", "part", "ahead")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -132,7 +162,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     an empty text has the empty fingerprint. Rows stay as many as they are.
     """
     common.bounded_batches(docs.sparkSession)
-    dealt, _ = in_next_order(docs)
+    dealt = in_next_order(docs)
 
     def row(doc, now: str, own: dict[str, int], then: str, other: dict[str, int]) -> tuple:
         m = len(now) // 3

@@ -26,17 +26,25 @@ MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 LETTER = re.compile(r"[^\W\d_]")
 
 
+#: Bytes of n-grams that are looked up at once.
+STRETCH = 1 << 20
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of all texts, lower case, and where each text's n-grams start (one more at the end)."""
+    """The n-grams of all texts, lower case, and where each text's n-grams start (one more at the end).
+
+    A gap is before and after each text, so its n-grams are the same whatever stands beside it.
+    """
     rows = [GAP + t.lower().encode("utf-8", "replace") + GAP for t in texts]
-    data = np.frombuffer(b"".join(rows), np.uint8)
-    starts = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
-    if len(data) < GRAM:
-        return np.zeros(0, np.uint32), starts
-    found = np.zeros(len(data), np.uint32)
+    return _grams(np.frombuffer(b"".join([*rows, GAP]), np.uint8))[: sum(map(len, rows))], np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """The n-gram that starts at each byte but the last ones."""
+    found = np.zeros(max(0, len(data) - GRAM + 1), np.uint32)
     for j in range(GRAM):
-        found[: len(data) - j] |= data[j:].astype(np.uint32) << np.uint32(8 * j)
-    return found, starts
+        found |= data[j : j + len(found)].astype(np.uint32) << np.uint32(8 * j)
+    return found
 
 
 class LanguageFilters:
@@ -60,18 +68,31 @@ class LanguageFilters:
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Corrected counts (text by language), and n-grams per text."""
-        found, starts = grams(texts)
-        out = np.zeros((len(texts), len(self.names)))
+        if len(texts) == 1 and len(texts[0]) > STRETCH:
+            out, n = self._long(texts[0])
+        else:
+            found, starts = grams(texts)
+            out, n = self._hits(found, starts[:-1]), np.diff(starts)
+        return np.maximum(0, (out - n[:, None] * self.chance) / (1 - self.chance)), n
+
+    def _long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of one long text, stretch by stretch."""
+        data = np.frombuffer(GAP + text.lower().encode("utf-8", "replace") + GAP + GAP, np.uint8)
+        n = len(data) - GRAM
+        return sum(self._hits(_grams(data[a : min(n, a + STRETCH) + GRAM - 1]), np.zeros(1, np.int64)) for a in range(0, n, STRETCH)), np.array([n])
+
+    def _hits(self, found: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """How many n-grams of each text each language's slice lets through."""
+        out = np.zeros((len(starts), len(self.names)))
         slots = self._slots(found)
         for word in range(self.words):
             mask = self.slots[word][slots[0]]
             for s in slots[1:]:
                 mask &= self.slots[word][s]
             for at in range(64 * word, min(len(self.names), 64 * word + 64)):
-                hit = (mask >> self.kind(at % 64) & self.kind(1)).astype(np.int64)
-                out[:, at] = np.add.reduceat(hit, starts[:-1]) if len(texts) else 0
-        n = np.diff(starts)
-        return np.maximum(0, (out - n[:, None] * self.chance) / (1 - self.chance)), n
+                hit = (mask >> self.kind(at % 64) & self.kind(1)).astype(np.int32)
+                out[:, at] = np.add.reduceat(hit, starts) if len(starts) else 0
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """For each text a language and the winner's share against the runner-up."""

@@ -78,57 +78,63 @@ def leaf_budgets(tokens: dict[tuple[str, str, str], int], mix: Mix) -> dict[tupl
     return budgets
 
 
-def _named(column: str, names) -> Column:
-    return F.when(F.col(column).isin(*names), F.col(column)).otherwise(OTHER) if names else F.lit(OTHER)
+def _named(column: Column, names) -> Column:
+    return F.when(column.isin(*names), column).otherwise(OTHER) if names else F.lit(OTHER)
 
 
-def _leaves(docs: DataFrame, mix: Mix) -> list[Column]:
+def _leaves(lang: Column, source: Column, mix: Mix) -> list[Column]:
     domain = F.lit(OTHER)
     for name in sorted(set(mix.domain_of.values())):
-        domain = F.when(F.col("source").isin(*sorted(s for s, d in mix.domain_of.items() if d == name)), name).otherwise(domain)
-    return [domain.alias("_domain"), _named("lang", sorted(mix.languages)).alias("_lang"), _named("source", sorted(mix.sources)).alias("_source")]
+        domain = F.when(source.isin(*sorted(s for s, d in mix.domain_of.items() if d == name)), name).otherwise(domain)
+    return [domain.alias("domain"), _named(lang, sorted(mix.languages)).alias("lang"), _named(source, sorted(mix.sources)).alias("source")]
 
 
-def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
+#: What is added to each row taken: its leaf, its tokens and the epoch.
+ADDED = ("_domain", "_lang", "_source", "_tokens", "_epoch")
+
+
+def mixed(docs: DataFrame, mix: Mix, tokens: str | None = None) -> DataFrame:
     """The rows of ``docs`` that the mix takes, once for each epoch that takes them.
 
-    All columns stay; ``_domain, _lang, _source`` (the leaf), ``_tokens`` (words between white
-    space, none in a null text) and ``_epoch`` (from 0) are added. A null or unnamed source or
-    language belongs to ``(other)``. Within an epoch, a row is taken if the tokens before it
-    are fewer than the leaf's rest, so a leaf is over its budget by less than one document; rows
-    of equal doc_id are taken together. A leaf without tokens gives nothing. Columns of ``docs``
-    with those names are replaced.
+    All columns stay; ``ADDED`` follow: the leaf, the tokens (of the column ``tokens``, such as another
+    operator's counts, null as none; without one, the words between white space, none in a null text)
+    and the epoch (from 0). Where ``docs`` has a column of such a name, the added one gets underscores
+    before it. A null or unnamed source or language belongs to ``(other)``. Within an epoch, a row is
+    taken if the tokens before it are fewer than the leaf's rest, so a leaf is over its budget by less
+    than one document; rows of equal doc_id are taken together. A leaf without tokens gives nothing.
     """
     spark = docs.sparkSession
-    for c, kind in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string")):
-        if c not in docs.columns:
-            docs = docs.withColumn(c, F.lit(None).cast(kind))
-    docs = docs.drop("_domain", "_lang", "_source", "_tokens", "_epoch")
-    names = ["_domain", "_lang", "_source"]
-    rows = docs.select("*", *_leaves(docs, mix), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("_tokens"))
-    small = common.written(rows.select("doc_id", *names, "_tokens"), "mix-rows")
-    tokens = {tuple(r[c] for c in names): r.n for r in small.groupBy(*names).agg(F.sum("_tokens").alias("n")).collect()}
-    budgets = leaf_budgets({k: n for k, n in tokens.items() if n}, mix)
-    plan = [(*k, b // tokens[k], b % tokens[k]) for k, b in sorted(budgets.items())]
-    plan = F.broadcast(spark.createDataFrame(plan, "_domain string, _lang string, _source string, whole long, rest long"))
-
-    key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    of = {c: docs[c] if c in docs.columns else F.lit(None).cast(kind) for c, kind in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"))}
+    n_tokens = docs[tokens] if tokens else F.regexp_count(of["text"], F.lit(r"[^\x20\x09-\x0D]+"))
+    names = ["domain", "lang", "source"]
+    # The documents' own columns go by their place, so that no name meets another.
+    own = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*own, of["doc_id"].alias("id"), *_leaves(of["lang"], of["source"], mix), F.coalesce(n_tokens, F.lit(0)).cast("long").alias("tokens"))
+    small = common.written(rows.select("id", *names, "tokens"), "mix-rows")
+    total = {tuple(r[c] for c in names): r.n for r in small.groupBy(*names).agg(F.sum("tokens").alias("n")).collect()}
+    budgets = leaf_budgets({k: n for k, n in total.items() if n}, mix)
+    plan = [(*k, b // total[k], b % total[k]) for k, b in sorted(budgets.items())]
+    plan = F.broadcast(spark.createDataFrame(plan, "domain string, lang string, source string, whole long, rest long"))
+
+    key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
     keyed = small.join(plan, names).where("rest > 0").withColumn("key", key).withColumn("digits", F.substring("key", 1, DIGITS))
-    sums = keyed.groupBy(*names, "rest", "digits").agg(F.sum("_tokens").alias("n"))
+    sums = keyed.groupBy(*names, "rest", "digits").agg(F.sum("tokens").alias("n"))
     up_to = Window.partitionBy(*names).orderBy("digits").rowsBetween(Window.unboundedPreceding, 0)
     # The digits under which the rest is used up: the first whose sum reaches it.
     ends = sums.withColumn("sum", F.sum("n").over(up_to)).where("sum >= rest").groupBy(*names).agg(F.min(F.struct("digits", (F.col("sum") - F.col("n")).alias("before"))).alias("end"))
     ends = F.broadcast(ends.select(*names, F.col("end.digits").alias("end"), F.col("end.before").alias("before")))
     there = keyed.join(ends, names).where("digits = end")
     so_far = Window.partitionBy(*names, "digits").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = there.withColumn("sum", F.col("before") + F.sum("_tokens").over(so_far)).where("sum >= rest")
+    reached = there.withColumn("sum", F.col("before") + F.sum("tokens").over(so_far)).where("sum >= rest")
     cuts = {tuple(r[c] for c in names): r.cut for r in reached.groupBy(*names).agg(F.min("key").alias("cut")).collect()}
-
-    full = [(*k, b // tokens[k], cuts.get(k)) for k, b in sorted(budgets.items())]
-    full = F.broadcast(spark.createDataFrame(full, "_domain string, _lang string, _source string, whole long, cut string"))
-    taken = rows.join(full, names).withColumn("_last", F.when(key <= F.col("cut"), F.col("whole")).otherwise(F.col("whole") - 1))
-    taken = taken.where("_last >= 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_last").cast("int"))))
-    return taken.select(*docs.columns, *names, "_tokens", "_epoch")
+    common.drop_written(small)
+
+    full = [(*k, b // total[k], cuts.get(k)) for k, b in sorted(budgets.items())]
+    full = F.broadcast(spark.createDataFrame(full, "domain string, lang string, source string, whole long, cut string"))
+    taken = rows.join(full, names).withColumn("last", F.when(key <= F.col("cut"), F.col("whole")).otherwise(F.col("whole") - 1))
+    taken = taken.where("last >= 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))))
+    added = common.free_names(docs, *ADDED)
+    return taken.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), *(F.col(c).alias(n) for c, n in zip((*names, "tokens", "epoch"), added, strict=True)))
 
 
 def mix_sql(mix: Mix) -> str:

@@ -18,12 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkqueue.llm import common
 
 WIDTH, STRIDE = 16, 8
 LAGS = range(2, 33)
 SYMBOLS = 512
+#: Bytes of a text that are scored at once; a longer one is taken in stretches that overlap as far as a symbol or a chunk reaches.
+STRETCH = 1 << 19
 
 
 def symbols(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -88,8 +91,26 @@ class ByteNet:
         hidden = np.tanh(pool @ self.p["dense"] + self.p["dense_bias"])
         return pool, hidden, 1 / (1 + np.exp(-np.clip(hidden @ self.p["out"] + self.p["out_bias"][0], -30, 30)))
 
+    def pooled_long(self, tables: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """As :func:`pooled`, of one long text, stretch by stretch."""
+        n, best = len(data), None
+        many = max(1, -(-(n - WIDTH) // STRIDE) + 1)
+        for c in range(0, many, STRETCH // STRIDE):
+            d = min(many, c + STRETCH // STRIDE)
+            a, b = c * STRIDE, min(n, (d - 1) * STRIDE + WIDTH)
+            low, high = max(0, a - max(LAGS)), min(n, b + 4)
+            marks = np.full((d - 1 - c) * STRIDE + WIDTH, SYMBOLS, np.int32)
+            marks[: b - a] = symbols(data[low:high], np.array([0, high - low]))[a - low : b - low]
+            own = self.pooled(tables, np.lib.stride_tricks.sliding_window_view(marks, WIDTH)[::STRIDE], np.array([0, d - c]))[0]
+            best = own if best is None else np.maximum(best, own)
+        return best
+
     def score(self, tables: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return self.head(self.pooled(tables, *chunks(data, starts)))[2] if len(starts) > 1 else np.zeros(0)
+        if len(starts) < 2:
+            return np.zeros(0)
+        if len(data) <= STRETCH:
+            return self.head(self.pooled(tables, *chunks(data, starts)))[2]
+        return self.head(np.stack([self.pooled_long(tables, data[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]))[2]
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 14, batch: int = 24, rate: float = 0.004, decay: float = 1e-4, seed: int = 1) -> ByteNet:
         cut = [chunks(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].astype(np.uint16) for t in texts]
@@ -148,9 +169,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, sample: int =
     """Learn from ``sample`` labelled rows, the bound on what the driver holds.
 
     They are those with the smallest hashes of doc_id among labels that ``train`` (a condition on
-    doc_id) admits; rows with a null label or a text of over ``longest`` bytes are not among them.
+    doc_id) admits; rows with a null label or a text of over ``longest`` bytes are not among them. Of
+    several labels of one document the least counts.
     """
-    chosen = labels.select("doc_id", "quality").where(train & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", "quality").where(train & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = common.documents_only(docs, "doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= longest).join(F.broadcast(chosen), "doc_id")
     found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).collect()
     known = np.array([min(1, max(0, r.quality)) for r in found], np.float32)
@@ -159,22 +182,25 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, sample: int =
     return ByteNet().fit([(r.text or "").encode() for r in found], known)
 
 
-def score_quality(docs: DataFrame, net: ByteNet | Constant, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of each document with its ``score``, from the whole text alone.
+def score_quality(docs: DataFrame, net: ByteNet | Constant, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``keep`` of each document with its score (a column ``name``, which no kept one has), from the whole text alone.
 
     A null text scores as an empty one: a single chunk of padding. Rows stay as many as they are.
+    Kept columns that the documents lack are null; others are not read.
     """
+    if name.lower() in (c.lower() for c in keep):
+        raise ValueError(f"the documents have a column {name!r}")
     spark = docs.sparkSession
     common.bounded_batches(spark)
     shared = spark.sparkContext.broadcast((net, net.tables()))
     rows = common.documents_only(docs, *dict.fromkeys([*keep, "text"]))
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tables = shared.value
         for batch in batches:
             for piece in common.text_batches(batch, 1 << 19):
                 found = own.score(tables, *common.text_bytes(piece.column("text")))
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(found.astype(np.float64))], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(found.astype(np.float64))], names=[*keep, name])
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(score, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", score double")
+    return rows.mapInArrow(score, schema)

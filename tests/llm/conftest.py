@@ -14,6 +14,13 @@ AWKWARD = [
     (6, "long words " * 20000, "fr", "src0"),
     (-8, "?!?! 123", "en", "src2"),
 ]
+#: Names that the operators use for columns of their own.
+CLASHING = (
+    "score", "_text", "text_tie", "kept_id", "kept_tie", "times", "digest", "component", "component_id", "kept", "cls", "value", "vertex", "n", "n_shingles",
+    "_domain", "_lang", "_source", "_tokens", "_epoch", "_last", "domain", "key", "digits", "whole", "rest", "cut", "end", "before", "tokens", "epoch", "id", "c0",
+    "place", "within", "part", "copy", "to", "ahead", "group", "bundle", "size", "text_crc32", "chunk", "slot", "own", "pooled", "block", "path", "sub", "codes",
+    "_at", "unit", "quality", "item_id", "distance", "a name with blanks",
+)
 COLUMNS = "doc_id long, text string, lang string, source string"
 
 
@@ -23,7 +30,8 @@ def awkward(spark):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(AWKWARD, COLUMNS).withColumn("n_chars", F.length("text").cast("long"))
-    return docs.withColumn("tie", F.lit("x")).withColumn("n_tokens", F.lit("y")).withColumn("shard", F.lit("z")).repartition(3)
+    docs = docs.withColumn("tie", F.lit("x")).withColumn("n_tokens", F.lit("y")).withColumn("shard", F.lit("z"))
+    return docs.withColumns({name: F.lit(f"{name} of the user") for name in CLASHING}).repartition(3)
 
 
 @pytest.fixture(scope="session")

@@ -105,3 +105,29 @@ def test_shard_sizes_are_near_equal(spark):
 
 def test_sharding_of_no_rows(no_rows):
     assert shard_documents(no_rows).count() == 0
+
+
+def test_many_rows_without_an_id_are_cut_by_hash(spark):
+    rows = [(None, f"text number {i} of those without an id") for i in range(900)] + [(5, f"the same id {i}") for i in range(300)] + [(i, f"own id {i}") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 12)
+    try:
+        sizes = [n for n in fp.in_next_order(docs).rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()]
+        got = sorted(fp.document_fingerprints(docs).collect(), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 1500 and max(sizes) < 400 and sum(sizes) <= 1500 + 13
+    plain = sorted(fp.document_fingerprints(docs.coalesce(1)).collect(), key=str)
+    assert got == plain
+
+
+def test_places_and_bounds():
+    r = np.random.default_rng(0)
+    sample = np.concatenate((np.full(500, 7), r.integers(-(1 << 62), 1 << 62, 500)))
+    bounds = fp.bounds_of(sample, 10)
+    assert len(bounds[0]) == len(bounds[1]) == 9 and sorted(zip(*(b.tolist() for b in bounds), strict=True)) == list(zip(*(b.tolist() for b in bounds), strict=True))
+    place, within = np.concatenate((np.full(2000, 7), sample)), r.integers(-(1 << 63), 1 << 63, 3000)
+    pairs = list(zip(*(b.tolist() for b in bounds), strict=True))
+    assert fp.part_of(bounds, place, within).tolist() == [sum(b <= x for b in pairs) for x in zip(place.tolist(), within.tolist(), strict=True)]
+    assert fp.part_of(fp.bounds_of(sample[:0], 5), place, within).max() == 0

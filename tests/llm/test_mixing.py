@@ -6,7 +6,8 @@ from fractions import Fraction
 
 import pytest
 
-from sparkqueue.llm.mixing import OTHER, Mix, leaf_budgets, mixed, share_out
+from sparkqueue.llm import common
+from sparkqueue.llm.mixing import ADDED, OTHER, Mix, leaf_budgets, mixed, share_out
 from sparkqueue.llm.queries import MIX
 
 SMALL = Mix(domains={"a": 3, "b": 1}, domain_of={"src0": "a", "src1": "b"}, languages={"en": 2, "de": 1}, sources={"src0": 1, "src1": 1}, epochs=3, share=(3, 2))
@@ -72,7 +73,8 @@ def key(r):
 @pytest.mark.parametrize("which, mix", [("awkward", SMALL), ("sample", SMALL), ("sample", MIX)])
 def test_against_brute_force(request, which, mix):
     docs = request.getfixturevalue(which)
-    got = [(r.doc_id, r._domain, r._lang, r._source, r._tokens, r._epoch) for r in mixed(docs, mix).collect()]
+    added = common.free_names(docs, *ADDED)
+    got = [(r.doc_id, *(r[c] for c in added)) for r in mixed(docs, mix).collect()]
     expected = brute_force(docs.collect(), mix)
     if which == "awkward":  # rows without words come or go with the keys around them
         got, expected = ([r for r in x if r[4]] for x in (got, expected))
@@ -83,3 +85,12 @@ def test_columns_stay_and_no_rows(awkward, no_rows):
     assert mixed(awkward, SMALL).columns[: len(awkward.columns)] == awkward.columns
     assert mixed(no_rows, SMALL).count() == 0
     assert mixed(awkward.select("doc_id", "text"), SMALL).select("_domain").distinct().collect()[0][0] == OTHER
+
+
+def test_tokens_of_another_column(spark):
+    rows = [(i, f"word {i}", "en", "src0", None if i == 3 else 10 * i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, counted int")
+    got = mixed(docs, SMALL, tokens="counted").collect()
+    every = sum(r[4] or 0 for r in rows)
+    assert sum(r._tokens for r in got) >= every * 3 // 2 and all(r._tokens == (r.counted or 0) for r in got)
+    assert sum(r._tokens for r in got) < every * 3 // 2 + 400

@@ -65,6 +65,70 @@ def test_gradient_against_differences():
             assert abs((up - down) / (2 * e) - g[k][at]) < 1e-4
 
 
+def naive_score(net, text):
+    """The network, chunk by chunk and filter by filter."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    marks = [b + 256 * (i + 4 <= len(text) and any(i >= lag and text[i : i + 4] == text[i - lag : i - lag + 4] for lag in range(2, 33))) for i, b in enumerate(text)]
+    best = [-np.inf] * len(p["bias"])
+    at = 0
+    while True:
+        chunk = (marks[at : at + WIDTH] + [SYMBOLS] * WIDTH)[:WIDTH]
+        for f in range(len(best)):
+            best[f] = max(best[f], sum(float(p["embed"][m] @ p["conv"][j, :, f]) for j, m in enumerate(chunk)))
+        if at + WIDTH >= len(text):
+            break
+        at += STRIDE
+    pool = [np.tanh(x + b) for x, b in zip(best, p["bias"], strict=True)]
+    hidden = [np.tanh(sum(x * w for x, w in zip(pool, p["dense"][:, h], strict=True)) + p["dense_bias"][h]) for h in range(len(p["out"]))]
+    return 1 / (1 + np.exp(-(sum(x * w for x, w in zip(hidden, p["out"], strict=True)) + p["out_bias"][0])))
+
+
+TEXTS = [b"", b"a", b"short", b"x" * 16, b"x" * 17, b"one two one two and one two three, " * 9, "Ünïcödé 漢字 ".encode() * 12]
+
+
+@pytest.mark.parametrize("fitted", [False, True])
+def test_scores_against_the_plain_network(fitted, monkeypatch):
+    from sparkqueue.llm import quality
+
+    net = ByteNet(filters=5, size=3, hidden=4)
+    if fitted:
+        net.fit(TEXTS, np.array([0, 1, 0, 1, 0, 1, 1], np.float32), epochs=3, batch=3)
+    data = np.frombuffer(b"".join(TEXTS), np.uint8)
+    starts = np.concatenate(([0], np.cumsum([len(t) for t in TEXTS])))
+    want = [naive_score(net, t) for t in TEXTS]
+    assert np.allclose(net.score(net.tables(), data, starts), want, atol=1e-4)
+    for size in (8, 64, 200):
+        monkeypatch.setattr(quality, "STRETCH", size)
+        assert np.allclose(net.score(net.tables(), data, starts), want, atol=1e-4)
+
+
+def test_counts_against_sets_of_grams(monkeypatch):
+    from sparkqueue.llm import language_id
+
+    def plain(text):
+        row = b"    " + text.lower().encode() + b"    " + b"    "
+        return [row[i : i + 4] for i in range(len(row) - 4)]
+
+    learned = {"a": "the quick brown fox jumps", "b": "der schnelle braune fuchs", "c": "el zorro marron salta"}
+    sets = {k: set(plain(v)) for k, v in learned.items()}
+    filters = LanguageFilters(list(learned), [np.unique(grams([t])[0]) for t in learned.values()], bits=20)
+    texts = ["the braune zorro", "Quick SCHNELLE", "x", "der fuchs jumps over el zorro " * 30, "漢字 the fox"]
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(language_id, "STRETCH", size)
+        for t in texts:
+            own = plain(t)
+            got, n = filters.counts([t])
+            assert n.tolist() == [len(own)]
+            want = np.array([sum(g in sets[k] for g in own) for k in learned])
+            want = np.maximum(0, (want - len(own) * filters.chance) / (1 - filters.chance))
+            assert np.allclose(got[0], want, atol=0.02 * len(own) + 1e-9)
+            top = max(range(3), key=lambda k: (got[0][k], -k))
+            assert filters.predict([t])[0] == [list(learned)[top]]
+    together, n = filters.counts(texts)
+    for i, t in enumerate(texts):
+        assert np.array_equal(together[i], filters.counts([t])[0][0])
+
+
 def test_quality_on_held_out_rows(spark, tables):
     docs, labels = tables
     net = fit_quality(docs, labels, ~held_out(5, 0))
