@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkqueue.llm import common
 from sparkqueue.llm.decontamination import without_contaminated
@@ -17,7 +18,8 @@ from sparkqueue.llm.sharding import shard_documents
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier gives at least 0.3."""
     net = fit_quality(docs, common.table(spark, sf_dir, "labels"), ~held_out(5, 0))
-    return score_quality(docs, net, tuple(docs.columns)).where("score >= 0.3").drop("score")
+    (score,) = common.free_names(docs, "score")
+    return score_quality(docs, net, tuple(docs.columns), score).where(F.col(score) >= 0.3).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.drop_written(before)
     return docs
