@@ -14,10 +14,10 @@ earlier ones) is the prefix sum of the manifest's sizes.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,53 +26,87 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkqueue.llm import common, files
+from sparkqueue.llm import common, files, units
 
-# The characters with Unicode's White_Space property, and Latin letters.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-
-#: Each match starts and ends where the byte-level pattern also splits: before white space that
-#: follows anything else, and between letters and a full stop or comma that ends a word.
-UNITS = re.compile(f" ?[{LETTERS}]+(?=[ \n.,])|[.,](?=[ \n])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 MANIFEST = "part int, prefix string, docs long, tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-class UnitIds(dict):
-    """Pre-token -> its ids as bytes. Encodes what it lacks; keeps ``most`` entries."""
+class UnitIds:
+    """Ids of pre-tokens: a cache of at most ``most``, which are encoded when first met."""
+
+    def __init__(self, tokenizer_file: str, dtype: str, most: int = 1_000_000):
+        import os
 
-    def __init__(self, tokenizer_file: str, dtype: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.dtype, self.most = Tokenizer.from_file(tokenizer_file), dtype, most
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(map(re.escape, added))) if added else None
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.tokenizer, self.dtype = Tokenizer.from_file(tokenizer_file), np.dtype(dtype)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Where the ids of a pre-token lie in the pool.
+        self.known = units.Known(np.zeros(0, np.uint64), np.zeros(0, np.int64), most)
+        self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.start = np.zeros(0, np.int64)
         self.splits = self._splits()
 
     def _splits(self) -> bool:
-        """Whether this tokenizer splits as UNITS expects: GPT-2's byte-level pattern, no prefix space or normaliser."""
+        """Whether this tokenizer cuts as is expected here: GPT-2's byte-level pattern, no prefix space or normaliser."""
         import json
 
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         return pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not pre.get("add_prefix_space") and not spec.get("normalizer")
 
-    def ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def __missing__(self, unit: str) -> bytes:
-        found = self.ids(unit)
-        if len(self) < self.most:
-            self[unit] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text, as the tokenizer gives them for it."""
-        if not self.splits or (self.whole and self.whole.search(text)):
-            return self.ids(text)
-        return b"".join(map(self.__getitem__, UNITS.findall(text)))
+    def ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, as the tokenizer gives them for each whole text, and
+        how many each has; with ``end_id``, each text ends with it."""
+        texts = pc.fill_null(texts, "")
+        # A text that holds an added token's string, which no cut may part, goes to the tokenizer whole.
+        whole = np.full(len(texts), not self.splits)
+        for t in self.added:
+            whole |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        cut = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        data, starts = common.text_bytes(cut)
+        first, row = units.cut(data, starts, units.byte_level_cuts(data))
+        parts, sizes = [], np.zeros(len(first), np.int64)
+        for at, a, b in units.groups(first, len(data)):
+            own, many = self._units(data, a, b)
+            parts.append(own)
+            sizes[at : at + len(a)] = many
+        ids = np.concatenate(parts) if parts else np.zeros(0, self.dtype)
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[row]
+        if end_id is None and not whole.any():
+            return ids, np.diff(bounds)
+        end = np.asarray([] if end_id is None else [end_id], self.dtype)
+        if not whole.any():
+            return np.insert(ids, bounds[1:], end[0]), np.diff(bounds) + 1
+        rows = [np.concatenate((self.ids(texts[i].as_py()) if whole[i] else ids[bounds[i] : bounds[i + 1]], end)) for i in range(len(texts))]
+        return np.concatenate(rows), np.array([len(r) for r in rows])
+
+    def _units(self, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some pre-tokens one after the other, and how many each has."""
+        hashes, where, place = units.distinct(data, first, end)
+        there, at = self.known.find(hashes)
+        lacking = np.flatnonzero(~there)
+        raw = data.tobytes() if len(lacking) else b""
+        texts = [raw[a:b].decode() for a, b in zip(first[where[lacking]].tolist(), end[where[lacking]].tolist(), strict=True)]
+        new = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size, start = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        size[there], start[there] = self.size[at[there]], self.start[at[there]]
+        size[lacking] = [len(x) for x in new]
+        start[lacking] = len(self.pool) + np.cumsum(size[lacking]) - size[lacking]
+        pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(new), self.dtype, int(size[lacking].sum())))) if new else self.pool
+        if room := min(len(new), self.known.most - len(self.known.hashes)):
+            kept = lacking[:room]
+            self.known.add(hashes[kept], len(self.size) + np.arange(room))
+            self.size, self.start = np.concatenate((self.size, size[kept])), np.concatenate((self.start, start[kept]))
+            self.pool = pool[: start[kept[-1]] + size[kept[-1]]]
+        many = size[place]
+        ends = np.cumsum(many)
+        return pool[np.arange(int(ends[-1])) + np.repeat(start[place] - ends + many, many)] if len(ends) else pool[:0], many
 
 
 @lru_cache(maxsize=2)
@@ -104,20 +138,19 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         prefix = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        units, end = None, np.asarray([end_id], dtype).tobytes()
-        lengths, ids, nulls = [], [], []
+        own, lengths, ids, nulls = None, [], [], []
         out, stream = None, None
-        width = np.dtype(dtype).itemsize
         try:
             for batch in batches:
                 if batch.num_rows and stream is None:
-                    units = worker_units(tokenizer_file, dtype)
+                    own = worker_units(tokenizer_file, dtype)
                     out = files.writing(f"{folder}/{prefix}.tokens")
                     stream = out.__enter__()
-                for text in batch.column("text").to_pylist():
-                    found = units.encode(text or "")
-                    lengths.append(len(found) // width + 1)
-                    stream.write(found + end)
+                if not batch.num_rows:
+                    continue
+                found, many = own.encode(batch.column("text"), end_id)
+                stream.write(found.tobytes())
+                lengths.append(many)
                 column = batch.column("doc_id")
                 ids.append(pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype("<i8"))
                 nulls.append(pc.is_null(column).to_numpy(zero_copy_only=False).astype("u1"))
@@ -126,6 +159,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id:
                 out.__exit__(None, None, None)
         if not lengths:
             return
+        lengths = np.concatenate(lengths)
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype("<i8")
         for name, array in (("offsets", offsets), ("docs", np.concatenate(ids)), ("nulls", np.concatenate(nulls))):
             with files.writing(f"{folder}/{prefix}.{name}") as f:

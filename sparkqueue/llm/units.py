@@ -17,35 +17,45 @@ U64 = np.uint64
 #: Pre-tokens that are looked up at once.
 AT_ONCE = 1 << 19
 
-#: Classes of bytes.
+#: Classes of bytes, as bits: space, line end, white space, other characters of one byte, letters of one byte, and
+#: the marks that are cut from letters. Characters of two bytes are none of them white space from lead byte C3 on, and
+#: letters as far as C8, but for two signs under C3 that end as no letter here may.
+SPACE, LINE_END, WHITE, PLAIN, LETTER, MARK, LEAD, LETTER_LEAD = (np.uint8(1 << k) for k in range(8))
 _BYTES = np.arange(256)
-SPACE, LINE_END = _BYTES == 32, _BYTES == 10
-#: White space and other characters of one byte, letters, and the marks that are cut from letters.
-WHITE = SPACE | (_BYTES >= 9) & (_BYTES <= 13)
-PLAIN = (_BYTES < 128) & ~WHITE
-LETTER = (_BYTES >= 65) & (_BYTES <= 90) | (_BYTES >= 97) & (_BYTES <= 122)
-MARK = (_BYTES == 44) | (_BYTES == 46)
-
-
-def _after(of: np.ndarray) -> np.ndarray:
-    """Whether the byte before is so."""
-    out = np.empty_like(of)
-    out[:1], out[1:] = False, of[:-1]
-    return out
+_WHITE = (_BYTES == 32) | (_BYTES >= 9) & (_BYTES <= 13)
+CLASS = np.zeros(256, np.uint8)
+for _bit, _of in (
+    (SPACE, _BYTES == 32),
+    (LINE_END, _BYTES == 10),
+    (WHITE, _WHITE),
+    (PLAIN, (_BYTES < 128) & ~_WHITE),
+    (LETTER, (_BYTES >= 65) & (_BYTES <= 90) | (_BYTES >= 97) & (_BYTES <= 122)),
+    (MARK, (_BYTES == 44) | (_BYTES == 46)),
+    (LEAD, (_BYTES >= 0xC3) & (_BYTES <= 0xDF)),
+    (LETTER_LEAD, (_BYTES >= 0xC3) & (_BYTES <= 0xC8)),
+):
+    CLASS[_of] |= _bit
 
 
 def byte_level_cuts(data: np.ndarray) -> np.ndarray:
     """Where white space follows something else, and a full stop or comma a letter: there the byte-level pattern cuts too.
 
-    Only characters of one byte are looked at, so a cut is never beside white space of several bytes.
+    Only characters of one byte and some of two are looked at, so a cut is never beside other white space.
     """
-    return WHITE[data] & _after(PLAIN[data]) | MARK[data] & _after(LETTER[data])
+    padded = np.concatenate((np.zeros(2, np.uint8), CLASS[data]))
+    now, before, lead = padded[2:], padded[1:-1], padded[:-2]
+    out = (now & WHITE).astype(bool) & ((before & PLAIN | lead & LEAD) != 0)
+    marks = np.flatnonzero(now & MARK)
+    own = np.maximum(marks - 1, 0)
+    out[marks] = (before[marks] & LETTER).astype(bool) | (lead[marks] & LETTER_LEAD).astype(bool) & (data[own] != 0x97) & (data[own] != 0xB7)
+    return out
 
 
 def piece_cuts(data: np.ndarray) -> np.ndarray:
     """Before each run of spaces, and before and after each line end."""
-    space, line_end = SPACE[data], LINE_END[data]
-    return line_end | space & ~_after(space) | _after(line_end)
+    padded = np.concatenate((np.zeros(1, np.uint8), CLASS[data]))
+    now, before = padded[1:], padded[:-1]
+    return (now & LINE_END | before & LINE_END | now & ~before & SPACE) != 0
 
 
 def cut(data: np.ndarray, starts: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +88,10 @@ class Known:
         return self.hashes[at] == hashes, self.values[at]
 
     def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
-        """Take in new ones (ascending), if there is room."""
-        if len(hashes) and len(self.hashes) + len(hashes) <= self.most:
-            at = np.searchsorted(self.hashes, hashes)
-            self.hashes, self.values = np.insert(self.hashes, at, hashes), np.insert(self.values, at, values)
+        """Take in new ones (ascending), as many as there is room for; which these are, hashes decide."""
+        if room := min(len(hashes), self.most - len(self.hashes)):
+            at = np.searchsorted(self.hashes, hashes[:room])
+            self.hashes, self.values = np.insert(self.hashes, at, hashes[:room]), np.insert(self.values, at, values[:room])
 
 
 def distinct(data: np.ndarray, first: np.ndarray, end: np.ndarray, key: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

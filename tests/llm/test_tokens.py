@@ -2,13 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sparkqueue.llm.token_counts import UnitLengths, token_counts
+from sparkqueue.llm.token_counts import UnitLengths, table_of, token_counts
 from sparkqueue.llm.token_files import UnitIds, token_files
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -34,14 +35,32 @@ def pieces():
 @given(st.one_of(ODD, st.text(max_size=40)))
 def test_unit_ids_equal_the_library(library, units, text):
     assert units.splits
-    assert np.frombuffer(units.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    expected = [library.encode(t, add_special_tokens=False).ids for t in (text, "", "a b.", text * 2)]
+    ids, many = units.encode(pa.array([text, None, "a b.", text * 2]))
+    assert ids.tolist() == [i for x in expected for i in x] and many.tolist() == [len(x) for x in expected]
+    ids, many = units.encode(pa.array([text, None, "a b.", text * 2]), 2)
+    assert ids.tolist() == [i for x in expected for i in [*x, 2]] and many.tolist() == [len(x) + 1 for x in expected]
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(ODD, st.text(max_size=40)))
 def test_unit_lengths_equal_the_library(pieces, text):
     assert pieces.splits
-    assert pieces.count(text) == len(pieces.model.encode(text))
+    table = table_of([" a", "b", "\n", " ab"], pieces)
+    for known in (None, table):
+        assert pieces.counts(pa.array([text, "", None, text + " ab\n a"]), known).tolist() == [len(pieces.model.encode(t)) for t in (text, "", "", text + " ab\n a")]
+
+
+def test_a_full_cache_and_small_groups(monkeypatch, library):
+    from sparkqueue.llm import units as module
+
+    monkeypatch.setattr(module, "AT_ONCE", 3)
+    own, lengths = UnitIds(BYTES, "<u2", most=5), UnitLengths(PIECES, most=5)
+    texts = ["one two three, four five. six", "", "six  seven\n\n eight nine ten one two", "ünïcödé 漢字 x"]
+    for _ in range(2):
+        assert own.encode(pa.array(texts))[0].tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+        assert lengths.counts(pa.array(texts)).tolist() == [len(lengths.model.encode(t)) for t in texts]
+    assert len(own.known.hashes) <= 5 and len(lengths.cache.hashes) <= 5
 
 
 @pytest.mark.parametrize("which", ["awkward", "sample", "no_rows"])
