@@ -43,3 +43,38 @@ def mapped(uri: str, dtype: str) -> np.ndarray:
     store, path = fs.FileSystem.from_uri(uri)
     with store.open_input_file(path) as f:
         return np.frombuffer(f.readall(), dtype)
+
+
+def put(uri: str, data: bytes) -> None:
+    """A whole file at once: it is there complete or not at all, and the last of several writers wins."""
+    import uuid
+
+    own = f"{uri}.{uuid.uuid4().hex}"
+    with writing(own) as out:
+        out.write(data)
+    if path := local_path(uri):
+        import os
+
+        os.replace(local_path(own), path)
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.move(fs.FileSystem.from_uri(own)[1], path)
+
+
+def get(uri: str) -> bytes | None:
+    """A whole file, or None if there is none."""
+    if path := local_path(uri):
+        try:
+            with open(path, "rb") as f:
+                return f.read()
+        except FileNotFoundError:
+            return None
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    with store.open_input_file(path) as f:
+        return f.readall()

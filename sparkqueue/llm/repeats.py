@@ -1,13 +1,14 @@
-"""Removal of passages that repeat across documents: prefix doubling over sampled positions.
+"""Removal of passages that repeat across documents: winnowed anchors and three exchanges of hashes.
 
 A byte goes if a string of THRESHOLD bytes covers it that also starts in a document with a smaller
-doc_id. Ranking all positions by growing prefixes would sort some twenty times the corpus in every
-round, so the rounds work on a sample that no match can miss, and positions drop out as soon as
-their rank is theirs alone:
+doc_id. This stands in for distributed prefix doubling, which sorts a row of ranks and place for
+every byte in every round; measured, that is many times the disk that there is (see the README). So
+ranks are hashes, which need no renumbering, they are taken at a sample of places that no match can
+miss, and places drop out as soon as their rank is theirs alone:
 
 1. Every string of 50 bytes has 32 places for a string of 19. The one with the least hash is its
    anchor; equal strings have equal anchors. Neighbouring strings mostly share theirs, so anchors
-   are some 6 in 100 positions. Their 19-byte ranks are exchanged by rank and counted; anchors whose
+   are some 6 in 100 places. Their 19-byte ranks are exchanged by rank and counted; anchors whose
    rank lies in a single document drop out, with all strings that they stand for.
 2. What is left is ranked by a longer string: all that a run of strings with one anchor covers (50
    to 81 bytes). Runs whose rank also lies in a smaller doc_id go as a whole. Runs that are the
@@ -15,14 +16,17 @@ their rank is theirs alone:
 3. Each string of an open run is ranked at the threshold, by the pair of its ranks at offsets 0 and
    25, and goes if the least doc_id of its rank is smaller than its own.
 
-A rank is a 64-bit hash of the string, so equal strings have equal ranks everywhere without a
-global renumbering. (A false match needs two of N ranked strings to collide: N * N / 2**65.)
-
-Documents lie in blocks, files of the shared folder. A round is a task per block that sends, for
-each range of ranks, its sorted distinct ranks; a task per range answers with a code for each; the
-next round derives the same ranks from the block again and reads the answers in the same order. So
-a rank crosses the network once per block, however often the block has it, and a very common
-passage is no larger in its range than any other rank.
+A rank is a 64-bit hash of the string, so equal strings have equal ranks everywhere. (A false match
+needs two of N ranked strings to collide: N * N / 2**65.)
+
+Documents lie in blocks, files of the shared folder, of BLOCK_BYTES of text at most or one document.
+A round is a task per block that sends, for each range of ranks, its sorted distinct ranks; a task
+per range, whose number follows the size of the text, answers with a code for each; the next round
+reads the answers in the same order. What a round finds out about a block (its runs, and which are
+left) is put beside it, so the next one neither searches for anchors nor asks again. A task that is run
+again writes the same files again. So a rank crosses the network
+once per block, however often the block has it, and a very common passage is no larger in its range
+than any other rank.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +51,15 @@ STRETCH = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 #: Strings that round 3 ranks at once; a block has as many groups of them as it needs.
 STRINGS_AT_ONCE = 1_000_000
-SENT = "part int, block int, sub int, ranks binary, more binary"
-ANSWER = "part int, block int, sub int, codes binary"
+#: Text of a block, and input that a range of ranks stands for.
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+#: Ranks of a message, and bytes of messages that leave a worker at once: large rows are costly in Spark's heap.
+RANKS_AT_ONCE, SENT_AT_ONCE = 1 << 12, 1 << 20
+#: Tasks of a round, at most; a task takes its blocks one after the other.
+MOST_TASKS = 50_000
+BLOCKS = "block long, path string"
+SENT = "part int, block long, sub int, ranks binary, more binary"
+ANSWER = "part int, block long, sub int, codes binary"
 
 
 class Hashes:
@@ -64,15 +76,14 @@ class Hashes:
             return common.mix64((self.total[end] - self.total[first]) * self.back[first])
 
 
-def runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of strings with one anchor: first string, number of strings, anchor's rank, run's rank."""
+def runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings with one anchor: first string, number of strings, anchor."""
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < THRESHOLD:
-        return empty, empty, empty.astype(U64), empty.astype(U64)
-    hashes = Hashes(data)
-    gram = hashes.at(slice(0, n - GRAM + 1), slice(GRAM, n + 1))
-    least, place = gram, np.arange(len(gram), dtype=np.int32)
+        return empty, empty, empty
+    least = Hashes(data).at(slice(0, n - GRAM + 1), slice(GRAM, n + 1))
+    place = np.arange(len(least), dtype=np.int32)
     reach = 1
     while reach < PLACES:
         later = least[reach:] < least[:-reach]
@@ -82,19 +93,20 @@ def runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     lengths = np.diff(starts)
     many = np.maximum(0, lengths - THRESHOLD + 1)
     at = np.arange(int(many.sum())) + np.repeat(starts[:-1] - np.concatenate(([0], np.cumsum(many)[:-1])), many)
-    anchor = place[at]
     if not len(at):
-        return empty, empty, empty.astype(U64), empty.astype(U64)
+        return empty, empty, empty
+    anchor = place[at]
     new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)))
     first = at[new]
-    count = np.diff(np.concatenate((np.flatnonzero(new), [len(at)])))
-    with np.errstate(over="ignore"):
-        whole = common.mix64(hashes.at(first, first + count + THRESHOLD - 1) + (count * 64 + anchor[new] - first).astype(U64))
-    return first, count, gram[anchor[new]], whole
+    return first, np.diff(np.concatenate((np.flatnonzero(new), [len(at)]))), anchor[new].astype(np.int64)
 
 
 class Block:
-    """The documents of one file, and what the rounds so far say of them."""
+    """The documents of one file, and what the rounds so far say of them.
+
+    Runs are held as ``first`` (byte), ``count`` (strings) and ``offset`` (of the anchor); the rounds
+    work on ever fewer of them.
+    """
 
     def __init__(self, uri: str, parts: int, at_once: int = STRINGS_AT_ONCE):
         path = files.local_path(uri)
@@ -105,16 +117,51 @@ class Block:
             table = pq.read_table(path, filesystem=store, columns=["doc_id", "text"])
         else:
             table = pq.read_table(path, columns=["doc_id", "text"])
-        self.parts, self.at_once = parts, at_once
+        self.uri, self.parts, self.at_once = uri, parts, at_once
         self.ids = table.column("doc_id").combine_chunks() if table.num_rows else pa.array([], pa.int64())
         self.order = self.ids.fill_null(NO_ID).to_numpy().astype(np.int64)
         text = table.column("text").cast(pa.large_string())
         self.data, self.starts = common.text_bytes(text.combine_chunks()) if table.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        found = [(a + f, n, g, w) for a, b, s in self.pieces() for f, n, g, w in [runs(self.data[a:b], s)]]
-        join = lambda k, kind: np.concatenate([x[k] for x in found]).astype(kind) if found else np.zeros(0, kind)
-        self.first, self.count, gram, self.whole = join(0, np.int64), join(1, np.int64), join(2, U64), join(3, U64)
-        self.doc = self.order[np.searchsorted(self.starts, self.first, "right") - 1]
-        self.gram = self.part_of(gram) << U64(32) | gram & U64(0xFFFFFFFF)
+        found = self.kept("runs")
+        if found is None:
+            found = [(a + f, n, g - f) for a, b, s in self.pieces() for f, n, g in [runs(self.data[a:b], s)]]
+            join = lambda k, kind: np.concatenate([x[k] for x in found]).astype(kind) if found else np.zeros(0, kind)
+            first = join(0, np.int64)
+            found = [np.diff(first, prepend=0).astype(np.uint32), join(1, np.uint8), join(2, np.uint8)]
+            self.keep_file("runs", found)
+        self.first, self.count, self.offset = np.cumsum(found[0], dtype=np.int64), found[1].astype(np.int64), found[2].astype(np.int64)
+
+    def kept(self, name: str) -> list[np.ndarray] | None:
+        """What an earlier round put beside the block."""
+        data = files.get(f"{self.uri}.{name}")
+        return None if data is None else [c.to_numpy() for c in pa.ipc.open_stream(pa.py_buffer(data)).read_all().columns]
+
+    def keep_file(self, name: str, columns: list[np.ndarray]) -> None:
+        table = pa.table({str(k): pa.array(c) for k, c in enumerate(columns)})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        files.put(f"{self.uri}.{name}", sink.getvalue().to_pybytes())
+
+    def docs_of(self, at: np.ndarray) -> np.ndarray:
+        return self.order[np.searchsorted(self.starts, at, "right") - 1]
+
+    def ranks(self, which: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Of some runs (ascending): the anchors' ranks, and with ``whole`` the runs' own."""
+        gram, own = np.zeros(len(which), U64), np.zeros(len(which) if whole else 0, U64)
+        first, count, offset = self.first[which], self.count[which], self.offset[which]
+        for a, b, _ in self.pieces():
+            i, j = np.searchsorted(first, [a, b if b - a <= STRETCH else a + STRETCH])
+            if i == j:
+                continue
+            hashes, f = Hashes(self.data[a:b]), first[i:j] - a
+            gram[i:j] = hashes.at(f + offset[i:j], f + offset[i:j] + GRAM)
+            if whole:
+                with np.errstate(over="ignore"):
+                    own[i:j] = common.mix64(hashes.at(f, f + count[i:j] + THRESHOLD - 1) + (count[i:j] * 64 + offset[i:j]).astype(U64))
+        # Anchors are the least of many, so their hashes crowd at the low end; mixed again, they lie evenly in the ranges.
+        gram = common.mix64(gram ^ U64(0x5851F42D4C957F2D))
+        return self.part_of(gram) << U64(32) | gram & U64(0xFFFFFFFF), own
 
     def part_of(self, ranks: np.ndarray) -> np.ndarray:
         """The range of ranks that a rank is in, from its upper half."""
@@ -137,31 +184,41 @@ class Block:
 
     # Round 1: anchors' ranks.
 
+    def _anchors(self) -> np.ndarray:
+        gram, _ = self.ranks(np.arange(len(self.first)), False)
+        self.known, new, self.place = np.unique(gram, return_index=True, return_inverse=True)
+        return new
+
     def anchors(self) -> Iterator[tuple[int, int, bytes, bytes]]:
-        order = np.argsort(self.gram, kind="stable")
-        ranks, doc = self.gram[order], self.doc[order]
-        self.known, new = np.unique(ranks, return_index=True)
-        if len(new):
-            several = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
-            for part, a, b in self.cut(self.known >> U64(32)):
-                yield part, 0, self.known[a:b].astype("<u4").tobytes(), np.packbits(several[a:b]).tobytes()
-
-    def cut(self, part: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Stretches of equal, ascending ``part``."""
+        self._anchors()
+        if not len(self.known):
+            return
+        doc = self.docs_of(self.first)
+        least, most = np.full(len(self.known), NO_ID), np.full(len(self.known), np.iinfo(np.int64).min)
+        np.minimum.at(least, self.place, doc)
+        np.maximum.at(most, self.place, doc)
+        for part, sub, a, b in self.cut(self.known >> U64(32)):
+            yield part, sub, self.known[a:b].astype("<u4").tobytes(), np.packbits(least[a:b] != most[a:b]).tobytes()
+
+    def cut(self, part: np.ndarray, group: int = 0) -> Iterator[tuple[int, int, int, int]]:
+        """Stretches of equal, ascending ``part``, of bounded length: the part, a number that is the stretch's own in it, start and end."""
         there, new = np.unique(part, return_index=True)
-        yield from zip(there.tolist(), new.tolist(), [*new[1:].tolist(), *[len(part)] * (len(part) > 0)], strict=True)
+        for p, a, b in zip(there.tolist(), new.tolist(), [*new[1:].tolist(), *[len(part)] * (len(part) > 0)], strict=True):
+            for k, at in enumerate(range(a, b, RANKS_AT_ONCE)):
+                yield p, group << 16 | k, at, min(b, at + RANKS_AT_ONCE)
 
-    def keep(self, codes: dict[tuple[int, int], bytes]) -> None:
-        """Drop the anchors that lie in one document."""
+    def drop_lone(self, codes: dict[tuple[int, int], bytes]) -> np.ndarray:
+        """The runs whose anchors lie in several documents."""
+        self._anchors()
         stays = np.zeros(len(self.known), bool)
-        for part, a, b in self.cut(self.known >> U64(32)):
-            stays[a:b] = np.unpackbits(np.frombuffer(codes[0, part], np.uint8), count=b - a)
-        self.left = np.flatnonzero(stays[np.searchsorted(self.known, self.gram)]) if len(self.known) else np.zeros(0, np.int64)
+        for part, sub, a, b in self.cut(self.known >> U64(32)):
+            stays[a:b] = np.unpackbits(np.frombuffer(codes[sub, part], np.uint8), count=b - a)
+        return np.flatnonzero(stays[self.place]) if len(self.known) else np.zeros(0, np.int64)
 
     # Round 2: runs' ranks.
 
-    def run_ranks(self) -> Iterator[tuple[int, int, bytes, bytes]]:
-        gram, whole, doc = self.gram[self.left], self.whole[self.left], self.doc[self.left]
+    def run_ranks(self, left: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes]]:
+        (gram, whole), doc = self.ranks(left, True), self.docs_of(self.first[left])
         order = np.lexsort((doc, whole, gram))
         new = np.ones(len(order), bool)
         new[1:] = (gram[order][1:] != gram[order][:-1]) | (whole[order][1:] != whole[order][:-1])
@@ -170,27 +227,30 @@ class Block:
         head = order[new]
         self.entry_doc = doc[head]
         self.entry_part = gram[head] >> U64(32)
-        for part, a, b in self.cut(self.entry_part):
-            yield part, 0, gram[head[a:b]].astype("<u4").tobytes(), whole[head[a:b]].tobytes() + self.entry_doc[a:b].tobytes()
+        for part, sub, a, b in self.cut(self.entry_part):
+            yield part, sub, gram[head[a:b]].astype("<u4").tobytes(), whole[head[a:b]].tobytes() + self.entry_doc[a:b].tobytes()
 
-    def settle(self, codes: dict[tuple[int, int], bytes]) -> None:
+    def settle(self, left: np.ndarray, codes: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Which runs go as a whole, and which stay open."""
-        code = np.concatenate([np.frombuffer(codes[0, p], np.uint8) for p, _, _ in self.cut(self.entry_part)]) if len(self.entry_part) else np.zeros(0, np.uint8)
+        for _ in self.run_ranks(left):
+            pass
+        code = np.concatenate([np.frombuffer(codes[sub, p], np.uint8) for p, sub, _, _ in self.cut(self.entry_part)]) if len(self.entry_part) else np.zeros(0, np.uint8)
         own = code[self.entry]
-        later = self.doc[self.left] > self.entry_doc[self.entry]
-        self.gone = self.left[later | (own == GONE)]
-        self.open = self.left[~later & (own == OPEN)]
+        later = self.docs_of(self.first[left]) > self.entry_doc[self.entry]
+        return left[later | (own == GONE)], left[~later & (own == OPEN)]
 
     # Round 3: strings' ranks, each the pair of its halves' ranks.
 
     def strings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The strings of the open runs, in groups of bounded size: place and rank."""
         held, many = [], 0
+        first = self.first[self.open]
         for a, b, _ in self.pieces():
             # The stretches overlap, but the runs of each are its own: they start before the next.
-            own = self.open[(self.first[self.open] >= a) & (self.first[self.open] < (b if b - a <= STRETCH else a + STRETCH))]
-            if not len(own):
+            i, j = np.searchsorted(first, [a, b if b - a <= STRETCH else a + STRETCH])
+            if i == j:
                 continue
+            own = self.open[i:j]
             hashes = Hashes(self.data[a:b])
             count = self.count[own]
             at = np.repeat(self.first[own] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) - a
@@ -205,16 +265,16 @@ class Block:
 
     def distinct(self, at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct ranks, the least document of each, and each string's document and place among the ranks."""
-        doc = self.order[np.searchsorted(self.starts, at, "right") - 1]
+        doc = self.docs_of(at)
         ranks, place = np.unique(rank, return_inverse=True)
         least = np.full(len(ranks), NO_ID)
         np.minimum.at(least, place, doc)
         return ranks, least, doc, place
 
     def string_ranks(self) -> Iterator[tuple[int, int, bytes, bytes]]:
-        for sub, (at, rank) in enumerate(self.strings()):
+        for group, (at, rank) in enumerate(self.strings()):
             ranks, least, _, _ = self.distinct(at, rank)
-            for part, a, b in self.cut(self.part_of(ranks)):
+            for part, sub, a, b in self.cut(self.part_of(ranks), group):
                 yield part, sub, ranks[a:b].tobytes(), least[a:b].tobytes()
 
     def merged(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,10 +291,10 @@ class Block:
     def spans(self, codes: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The maximal stretches of bytes that go: row, start, end, in order."""
         found = [self.merged(self.first[self.gone], self.first[self.gone] + self.count[self.gone] + THRESHOLD - 1)]
-        for sub, (at, rank) in enumerate(self.strings()):
+        for group, (at, rank) in enumerate(self.strings()):
             ranks, least, doc, place = self.distinct(at, rank)
             elsewhere = np.zeros(len(ranks), bool)
-            for part, a, b in self.cut(self.part_of(ranks)):
+            for part, sub, a, b in self.cut(self.part_of(ranks), group):
                 elsewhere[a:b] = np.unpackbits(np.frombuffer(codes[sub, part], np.uint8), count=b - a)
             goes = at[elsewhere[place] | (doc > least[place])]
             found.append(self.merged(goes, goes + THRESHOLD))
@@ -299,34 +359,89 @@ def judge_strings(ranks: list[np.ndarray], more: list[bytes]) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(least[place] < doc, np.cumsum([len(r) for r in ranks])[:-1])]
 
 
-def _round(blocks: DataFrame, parts: int, send: Callable, kind: str, judge: Callable, name: str) -> DataFrame:
+def _round(asked: DataFrame, parts: int, send: Callable, kind: str, judge: Callable, name: str) -> DataFrame:
     """Send each block's ranks to the ranges they are in; the answers come back with the block's number."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                for part, sub, ranks, more in send(row):
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([row["block"]], pa.int32()), "sub": pa.array([sub], pa.int32()), "ranks": [ranks], "more": [more]})
+        for block, path, codes in _blocks_in(batches):
+            held, size = [], 0
+            for message in send(path, codes):
+                held.append(message)
+                size += len(message[2]) + len(message[3])
+                if size > SENT_AT_ONCE:
+                    yield batch_of(block, held)
+                    held, size = [], 0
+            if held:
+                yield batch_of(block, held)
+
+    def batch_of(block: int, held: list[tuple]) -> pa.RecordBatch:
+        part, sub, ranks, more = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([block] * len(held), pa.int64()), pa.array(sub, pa.int32()), pa.array(ranks, pa.binary()), pa.array(more, pa.binary())], names=["part", "block", "sub", "ranks", "more"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # All that a partition holds is of one range.
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        table = pa.Table.from_batches(held)
+        codes = judge([np.frombuffer(r.as_py(), kind) for r in table.column("ranks")], [m.as_py() for m in table.column("more")])
+        yield from pa.table({"part": table.column("part"), "block": table.column("block"), "sub": table.column("sub"), "codes": pa.array(codes, pa.binary())}).to_batches()
+
+    return common.written(asked.mapInArrow(ask, SENT).repartitionById(parts, F.col("part")).mapInArrow(answer, ANSWER), name)
+
+
+def _asked(blocks: DataFrame, many: int, answers: DataFrame | None = None) -> DataFrame:
+    """Each block's row, and after it the answers to its ranks, in one partition."""
+    rows = blocks.select("block", "path", F.lit(None).cast("int").alias("sub"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("codes"))
+    if answers is not None:
+        rows = rows.union(answers.select("block", F.lit(None).cast("string"), "sub", "part", "codes"))
+    return rows.repartition(min(many, MOST_TASKS), "block").sortWithinPartitions("block", F.col("path").isNull())
+
+
+def _blocks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, dict[tuple[int, int], bytes]]]:
+    """Blocks one by one, with the answers that follow them."""
+    now = path = None
+    codes: dict[tuple[int, int], bytes] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["path"] is not None:
+                if now is not None:
+                    yield now, path, codes
+                now, path, codes = row["block"], row["path"], {}
+            else:
+                codes[row["sub"], row["part"]] = row["codes"]
+    if now is not None:
+        yield now, path, codes
 
-    def answer(table: pa.Table) -> pa.Table:
-        ranks = [np.frombuffer(r, kind) for r in table.column("ranks").to_pylist()]
-        codes = judge(ranks, table.column("more").to_pylist())
-        return pa.table({"part": table.column("part"), "block": table.column("block"), "sub": table.column("sub"), "codes": pa.array(codes, pa.binary())})
 
-    return common.written(blocks.mapInArrow(ask, SENT).groupBy("part").applyInArrow(answer, ANSWER), name)
+def write_blocks(docs: DataFrame, folder: str, most_bytes: int = BLOCK_BYTES, most_rows: int = 100_000) -> DataFrame:
+    """The documents as files of bounded size, a row for each: ``block, path``. Only files that are listed count."""
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        held, size, rows, k = [], 0, 0, 0
 
-def _with(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """Each block with the answers to its ranks."""
-    own = answers.groupBy("block").agg(F.collect_list(F.struct("sub", "part", "codes")).alias(name))
-    return blocks.join(own, "block", "left")
+        def flush() -> pa.RecordBatch:
+            path = f"{folder}/block-{task.partitionId():06d}-{k:04d}-{task.taskAttemptId()}.parquet"
+            with files.writing(path) as out:
+                pq.write_table(pa.Table.from_batches(held), out, compression="zstd")
+            return pa.RecordBatch.from_pydict({"block": pa.array([task.partitionId() << 32 | k], pa.int64()), "path": [path]})
 
+        for batch in batches:
+            for piece in common.text_batches(batch, min(most_bytes, 1 << 19)):
+                own = piece.column("text").nbytes
+                if held and (size + own > most_bytes or rows + piece.num_rows > most_rows):
+                    yield flush()
+                    held, size, rows, k = [], 0, 0, k + 1
+                held.append(piece)
+                size, rows = size + own, rows + piece.num_rows
+        if rows:
+            yield flush()
 
-def _codes(row: dict, name: str) -> dict[tuple[int, int], bytes]:
-    return {(x["sub"], x["part"]): x["codes"] for x in row[name] or []}
+    return common.written(common.documents_only(docs, "doc_id", "text").mapInArrow(write, BLOCKS), "block-list")
 
 
-def without_repeats(docs: DataFrame, block_rows: int = 4_000, strings_at_once: int = STRINGS_AT_ONCE) -> DataFrame:
+def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_rows: int = 100_000, strings_at_once: int = STRINGS_AT_ONCE) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each whole text.
 
     Matches are of UTF-8 bytes and never cross documents; within one document nothing repeats.
@@ -334,59 +449,50 @@ def without_repeats(docs: DataFrame, block_rows: int = 4_000, strings_at_once: i
     as one document. Texts of fewer than 50 bytes lose nothing. Other columns are not read.
     """
     spark = docs.sparkSession
-    folder = common.fresh_path(spark, "blocks")
-    rows = common.documents_only(docs, "doc_id", "text")
-    rows.write.option("maxRecordsPerFile", block_rows).parquet(folder)
-    stored = spark.read.schema(rows.schema).parquet(folder)
-    paths = sorted(stored.inputFiles())
-    parts = common.partitions_for(stored)
-    blocks = spark.createDataFrame(list(enumerate(paths)), "block int, path string")
-    dealt = lambda df: df.repartitionById(max(1, len(paths)), F.col("block"))
-
-    def first(row: dict) -> Iterator:
-        return Block(row["path"], parts, strings_at_once).anchors()
-
-    def second_block(row: dict) -> Block:
-        block = Block(row["path"], parts, strings_at_once)
-        for _ in block.anchors():
-            pass
-        block.keep(_codes(row, "one"))
-        return block
-
-    def second(row: dict) -> Iterator:
-        return second_block(row).run_ranks()
-
-    def third_block(row: dict) -> Block:
-        block = second_block(row)
-        for _ in block.run_ranks():
-            pass
-        block.settle(_codes(row, "two"))
-        return block
-
-    def third(row: dict) -> Iterator:
-        return third_block(row).string_ranks()
+    common.bounded_batches(spark)
+    blocks = write_blocks(docs, common.fresh_path(spark, "blocks"), block_bytes, block_rows)
+    many = max(1, blocks.count())
+    parts = common.partitions_for(docs, RANGE_BYTES)
+
+    def left_of(block: Block, codes: dict[tuple[int, int], bytes]) -> np.ndarray:
+        left = block.drop_lone(codes)
+        block.keep_file("left", [left])
+        return left
+
+    def first(path: str, codes: dict) -> Iterator:
+        return Block(path, parts, strings_at_once).anchors()
+
+    def second(path: str, codes: dict) -> Iterator:
+        block = Block(path, parts, strings_at_once)
+        return block.run_ranks(left_of(block, codes))
+
+    def third(path: str, codes: dict) -> Iterator:
+        block = Block(path, parts, strings_at_once)
+        block.gone, block.open = block.settle(block.kept("left")[0], codes)
+        block.keep_file("gone", [block.gone])
+        block.keep_file("open", [block.open])
+        return block.string_ranks()
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = third_block(row)
-                span_row, start, end = block.spans(_codes(row, "three"))
-                rows = len(block.starts) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        block.ids,
-                        pa.array(np.diff(block.starts)),
-                        pa.array(np.bincount(span_row, end - start, rows).astype(np.int64)),
-                        pa.array(np.bincount(span_row, minlength=rows).astype(np.int64)),
-                        pa.array(block.kept_hashes(span_row, start, end), pa.string()),
-                    ],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-                )
-
-    one = _round(dealt(blocks), parts, first, "<u4", count_anchors, "anchors")
-    blocks = _with(blocks, one, "one")
-    two = _round(dealt(blocks), parts, second, "<u4", judge_runs, "runs")
-    blocks = _with(blocks, two, "two")
-    three = _round(dealt(blocks), parts, third, "<u8", judge_strings, "strings")
-    blocks = _with(blocks, three, "three")
-    return dealt(blocks).mapInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        for _, path, codes in _blocks_in(batches):
+            block = Block(path, parts, strings_at_once)
+            block.gone, block.open = block.kept("gone")[0], block.kept("open")[0]
+            span_row, start, end = block.spans(codes)
+            rows = len(block.starts) - 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    block.ids,
+                    pa.array(np.diff(block.starts)),
+                    pa.array(np.bincount(span_row, end - start, rows).astype(np.int64)),
+                    pa.array(np.bincount(span_row, minlength=rows).astype(np.int64)),
+                    pa.array(block.kept_hashes(span_row, start, end), pa.string()),
+                ],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            )
+
+    one = _round(_asked(blocks, many), parts, first, "<u4", count_anchors, "anchors")
+    two = _round(_asked(blocks, many, one), parts, second, "<u4", judge_runs, "runs")
+    common.drop_written(one)
+    three = _round(_asked(blocks, many, two), parts, third, "<u8", judge_strings, "strings")
+    common.drop_written(two)
+    return _asked(blocks, many, three).mapInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

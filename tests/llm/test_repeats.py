@@ -89,3 +89,27 @@ def test_edge_cases(request, which):
 
 def test_sample(sample):
     same(sample, [(r.doc_id, r.text) for r in sample.collect()], block_rows=40)
+
+
+def test_blocks_are_bounded_in_bytes_and_keep_their_runs(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(r.choice((10, 3000, 60_000))))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    listed = repeats.write_blocks(docs, f"file://{tmp_path}/blocks", most_bytes=100_000, most_rows=20).collect()
+    assert len({x.block for x in listed}) == len(listed) > 5
+    ids = []
+    for x in listed:
+        block = repeats.Block(x.path, 3)
+        assert (len(block.data) <= 100_000 or len(block.ids) == 1) and len(block.ids) <= 20
+        again = repeats.Block(x.path, 3)
+        assert np.array_equal(block.first, again.first) and np.array_equal(block.offset, again.offset) and block.kept("runs") is not None
+        ids += block.ids.to_pylist()
+    assert sorted(ids) == list(range(60))
+
+
+def test_ranks_lie_evenly_in_the_ranges(spark, tmp_path):
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, "".join(r.choice("abcdefgh ") for _ in range(20_000))) for i in range(20)], "doc_id long, text string").coalesce(1)
+    block = repeats.Block(repeats.write_blocks(docs, f"file://{tmp_path}/even").first().path, 16)
+    sizes = [len(ranks) for _, _, ranks, _ in block.anchors()]
+    assert len(sizes) == 16 and max(sizes) < 1.2 * min(sizes)
