@@ -18,8 +18,8 @@ No list is paired in full:
   shingles come last in that order, so copies meet in lists of their own kind, and what groups have
   in common makes no pairs.
 * Lists of common shingles that are still long, which are of texts that hold little else, are
-  compared with a few random classes, and only what then remains in several components is compared
-  block against block, between different components.
+  compared with a few random classes; what then lies outside of a list's largest component is
+  compared with all of the list, block against block.
 * Of the pairs that pass the estimate, first one per class is confirmed, then those that still lie
   between components: links within a component change nothing.
 
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkqueue.llm import common
@@ -246,8 +246,7 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for v in batch.column("values"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(v.as_py(), "<i8"))], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column("values").to_pylist()), "<i8"))], names=["value"])
 
     counted = sets.select("values").mapInArrow(spread, "value long").groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHORT)
     found = counted.orderBy(F.desc("n"), "value").limit(COMMON).toArrow()
@@ -263,7 +262,7 @@ def rarest_first(values: np.ndarray, known: np.ndarray, times: np.ndarray) -> np
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``value, cls, n, at, small``: the shingles by which a set of n meets others, and their place in the order.
+    """``value, cls, component, n, at, small``: the shingles by which a set (with its component) of n meets others, and their place in the order.
 
     ``small`` ones are enough to meet sets that are no smaller.
     """
@@ -272,14 +271,17 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times = shared.value
         for batch in batches:
-            for cls, v in zip(batch.column("cls").to_pylist(), batch.column("values"), strict=True):
+            held = []
+            for cls, component, v in zip(batch.column("cls").to_pylist(), batch.column("component").to_pylist(), batch.column("values"), strict=True):
                 ordered = rarest_first(np.frombuffer(v.as_py(), "<u8"), known, times)
                 n = len(ordered)
                 many, few = n + 1 + (-percent * n // 100), n + 1 + (-2 * percent * n // (100 + percent))
                 at = np.arange(many)
-                yield pa.RecordBatch.from_arrays([pa.array(ordered[:many].view(np.int64)), pa.array(np.full(many, cls)), pa.array(np.full(many, n, np.int32)), pa.array(at.astype(np.int32)), pa.array(at < few)], names=["value", "cls", "n", "at", "small"])
+                held.append((ordered[:many].view(np.int64), np.full(many, cls), np.full(many, component), np.full(many, n, np.int32), at.astype(np.int32), at < few))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["value", "cls", "component", "n", "at", "small"])
 
-    return sets.mapInArrow(spread, "value long, cls long, n int, at int, small boolean")
+    return sets.mapInArrow(spread, "value long, cls long, component long, n int, at int, small boolean")
 
 
 def met_in_short_lists(lists: DataFrame, percent: int) -> DataFrame:
@@ -290,14 +292,32 @@ def met_in_short_lists(lists: DataFrame, percent: int) -> DataFrame:
     return met.where((100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
 
 
-def blocks_against_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside groups (``leader, cls, component``), block against block of bounded size."""
-    sized = members.join(sets, "cls").withColumn("n", (F.octet_length("values") / 8).cast("long"))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    dealt = sized.join(sized.groupBy("leader").agg(blocks), "leader").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    facing = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("leader", "cls", "component", "values", "block", facing)
-    dealt = dealt.select("leader", "cls", "component", "values", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+def blocks_against_blocks(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside groups (``leader, cls, component``), block against block of bounded size.
+
+    What is outside of a group's largest component meets all of the group; so a large component with
+    some others beside it costs a pass.
+    """
+    sized = members.join(classes.select("cls", "n"), "cls")
+    by_component = sized.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("n"))
+    largest = F.max_by("component", F.struct("many", "component"))
+    of_group = by_component.groupBy("leader").agg(largest.alias("main"), F.sum("many").alias("all"), F.sum("n").alias("all_n"), F.max("many").alias("most"), F.max_by("n", F.struct("many", "component")).alias("most_n"))
+
+    def blocks(many: str, n: str) -> Column:
+        return F.greatest(F.ceil(F.expr(many) / BLOCK), F.ceil(F.expr(n) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    of_group = of_group.select("leader", "main", blocks("all", "all_n").alias("all_blocks"), blocks("all - most", "all_n - most_n").alias("other_blocks"))
+    placed = sized.join(of_group, "leader").withColumn("at", F.xxhash64("cls"))
+
+    def dealt_to(own: Column, facing: str, side: int) -> DataFrame:
+        rows = placed.where("component != main") if side == 0 else placed
+        met = F.explode(F.sequence(F.lit(0), F.col(facing) - 1)).alias("facing")
+        rows = rows.select("leader", "cls", "component", own.cast("int").alias("own"), met)
+        x, y = ("own", "facing") if side == 0 else ("facing", "own")
+        return rows.select("leader", "cls", "component", F.col(x).alias("x"), F.col(y).alias("y"), F.lit(side).alias("side"))
+
+    dealt = dealt_to(F.pmod("at", "other_blocks"), "all_blocks", 0).union(dealt_to(F.pmod("at", "all_blocks"), "other_blocks", 1))
+    dealt = dealt.join(sets, "cls")
 
     def compare(table: pa.Table) -> pa.Table:
         cls, component, side = (table.column(c).to_numpy() for c in ("cls", "component", "side"))
@@ -314,7 +334,7 @@ def link_open_groups(linked: Linked, members: DataFrame) -> None:
         return
     own = common.written(linked.sets.join(left.select("cls").distinct(), "cls", "left_semi"), "open-sets")
     common.drop_written(left)
-    listed = common.written(linked.placed(prefixes(own, linked.percent)), "prefixes")
+    listed = common.written(prefixes(linked.placed(own), linked.percent), "prefixes")
     sizes = listed.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.max("small").alias("any"), F.min("cls").alias("leader"), F.min("component").alias("least"), F.max("component").alias("most"))
     sizes = common.written(sizes.where("any and least != most"), "prefix-sizes")
     linked.try_pairs(met_in_short_lists(listed.join(sizes.where(F.col("size") <= SHORT).select("value"), "value", "left_semi"), linked.percent))
@@ -329,7 +349,7 @@ def link_open_groups(linked: Linked, members: DataFrame) -> None:
         linked.try_pairs(left.join(pivot, "leader").where("component != own").select("a", F.col("cls").alias("b")))
         common.drop_written(left)
     left = linked.open(long)
-    linked.add(blocks_against_blocks(left, own, linked.percent))
+    linked.add(blocks_against_blocks(left, linked.classes, own, linked.percent))
     common.drop_written(left, long, own)
 
 
