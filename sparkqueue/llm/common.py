@@ -30,11 +30,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     A lost executor loses no part of it, and both sides of a later join on it are plain scans,
-    so adaptive execution can split a skewed key.
+    so adaptive execution can split a skewed key. Zstandard, whose buffers lie in the heap: those of the
+    default codec lie outside and pile up until the next collection.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
