@@ -58,7 +58,7 @@ SAMPLED, STEPS = 4, 2
 PAIR_BITS = 22
 #: Sizes by which pieces of at least the first are looked for.
 HEADS = (9, 12, 16, 32, 64, 128)
-#: Bytes of text that a task searches in one go; a longer text is taken in overlapping stretches.
+#: Bytes of text that a task searches in one go; a text of over half as many is taken in overlapping stretches of a quarter.
 BYTES_AT_ONCE = 12_000_000
 
 
@@ -410,7 +410,7 @@ class ItemIndex:
         parts, alike, rows, out = [], [], 0, []
         for t in texts:
             data, starts = common.text_bytes(t)
-            if len(data) > 2 * BYTES_AT_ONCE:
+            if len(t) == 1 and len(data) > BYTES_AT_ONCE // 2:
                 out += [(rows, i, d) for i, d in self.search_long(data)]
                 data, starts = data[:0], np.zeros_like(starts)
             symbols = _symbols(data, starts)
@@ -430,7 +430,7 @@ class ItemIndex:
 
         def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             words = letters = np.zeros(0, U64)
-            for values, kind in stretches(data, BYTES_AT_ONCE):
+            for values, kind in stretches(data, BYTES_AT_ONCE // 4):
                 own = np.array([0, len(values)])
                 words = np.concatenate((words[-self.reach :], _words(values, kind, own)[0]))
                 letters = np.concatenate((letters[-self.letters.reach :], _letters(values, kind, own)[0]))

@@ -214,6 +214,7 @@ def test_long_texts_are_searched_in_stretches(monkeypatch):
     assert len(plain) > 10
     for size in (100, 1500):
         monkeypatch.setattr(dc, "BYTES_AT_ONCE", size)
+        assert sorted(index.search_texts([pa.array([long[0], "short", None]), pa.array(long[1:])])) == sorted((row + 2 * (row > 0), i, d) for row, i, d in plain)
         for row, t in enumerate(long):
             assert sorted(index.search_texts([pa.array([t])])) == sorted((0, i, d) for k, i, d in plain if k == row)
 
