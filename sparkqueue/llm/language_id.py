@@ -9,8 +9,8 @@ full the language's slice is) is taken off. The largest corrected count decides.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -114,20 +114,51 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
-def fit_language_filters(train: DataFrame, per_language: int = 400, longest: int = 1 << 20, most: int = 20_000) -> LanguageFilters:
+#: N-grams of texts that are held before they are summed up.
+HELD = 1 << 22
+
+
+def commonest_grams(texts: Iterable[str], most: int) -> np.ndarray:
+    """Of some texts' n-grams, the ``most`` that occur most often; they must be in two texts, if there are eight."""
+    total = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, size, rows = [], 0, 0
+
+    def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, times, of = (np.concatenate(x) for x in zip(total, *held, strict=True))
+        order = np.argsort(found, kind="stable")
+        found, times, of = found[order], times[order], of[order]
+        new = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
+        return (found[new], np.add.reduceat(times, new), np.add.reduceat(of, new)) if len(found) else total
+
+    for text in texts:
+        found, times = np.unique(grams([text])[0], return_counts=True)
+        held.append((found, times, np.ones(len(found), np.int64)))
+        size, rows = size + len(found), rows + 1
+        if size > HELD:
+            total, held, size = summed(), [], 0
+    found, times, of = summed()
+    enough = of >= (2 if rows >= 8 else 1)
+    return found[enough][np.lexsort((found[enough], -times[enough]))][:most]
+
+
+def fit_language_filters(train: DataFrame, per_language: int = 400, longest: int = 1 << 20, most: int = 20_000, most_languages: int = 1024) -> LanguageFilters:
     """Learn from the ``per_language`` distinct labelled texts of each language whose hashes are least.
 
     Copies of a text count once, so a language with fewer texts gives all of them, however often one
-    is repeated. The sample is the bound on what the driver holds: rows with a null text or
-    language, or with a text of over ``longest`` bytes, are not in it. An n-gram counts if two sampled rows of its
-    language have it, or if the language has fewer than eight rows.
+    is repeated. Rows with a null text or language, or with a text of over ``longest`` bytes, are not
+    in the sample. The driver reads it in order of language and holds one language's n-gram counts at
+    a time. Labels that name more than ``most_languages`` languages are refused, as the filters (a bit
+    a language in each slot, so 128 MB at 1024) go to every worker. An n-gram counts if two sampled
+    rows of its language have it, or if the language has fewer than eight rows.
     """
     rows = common.documents_only(train, "text", "lang").where("text is not null and lang is not null").where(F.octet_length("text") <= longest)
     rows = rows.withColumn("_at", F.shiftrightunsigned(F.xxhash64("text", F.lit(17)), 1))
     keys = common.written(rows.select("lang", "_at").distinct(), "language-keys")
-    sizes = {r.lang: r.n for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    sizes = {r.lang: r.n for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if not sizes or len(sizes) > most_languages:
         common.drop_written(keys)
+        if sizes:
+            raise ValueError(f"the labels name more than {most_languages} languages")
         return LanguageFilters([], [])
 
     def within(bounds: dict[str, int]) -> Column:
@@ -139,20 +170,11 @@ def fit_language_filters(train: DataFrame, per_language: int = 400, longest: int
     for r in keys.where(within({lang: min(top, top * (2 * per_language + 50) // n) for lang, n in sizes.items()})).toLocalIterator():
         some.setdefault(r.lang, []).append(r["_at"])
     common.drop_written(keys)
-    by_lang: dict[str, list[str]] = {}
-    for r in rows.where(within({lang: sorted(own)[:per_language][-1] for lang, own in some.items()})).select("lang", "text").distinct().toLocalIterator():
-        by_lang.setdefault(r.lang, []).append(r.text)
-    names, sets = sorted(by_lang), []
-    for lang in names:
-        seen: Counter = Counter()
-        docs: Counter = Counter()
-        for text in by_lang[lang]:
-            found, n = np.unique(grams([text])[0], return_counts=True)
-            seen.update(dict(zip(found.tolist(), n.tolist(), strict=True)))
-            docs.update(found.tolist())
-        least = 2 if len(by_lang[lang]) >= 8 else 1
-        kept = sorted((g for g, n in docs.items() if n >= least), key=lambda g: (-seen[g], g))[:most]
-        sets.append(np.array(kept, np.uint32))
+    sample = rows.where(within({lang: sorted(own)[:per_language][-1] for lang, own in some.items()})).distinct().orderBy("lang", "_at")
+    names, sets = [], []
+    for lang, own in groupby(sample.toLocalIterator(), key=lambda r: r.lang):
+        names.append(lang)
+        sets.append(commonest_grams((r.text for r in own), most))
     return LanguageFilters(names, sets)
 
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,8 +165,8 @@ class Constant:
         return np.full(len(starts) - 1, self.value)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 3000, longest: int = 1 << 17) -> ByteNet | Constant:
-    """Learn from ``sample`` labelled rows, the bound on what the driver holds.
+def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, sample: int = 3000, longest: int = 1 << 17, most_bytes: int = 64 << 20) -> ByteNet | Constant:
+    """Learn from ``sample`` labelled rows of ``most_bytes`` of text in all, the bound on what the driver holds.
 
     They are those with the smallest hashes of doc_id among labels that ``train`` (a condition on
     doc_id) admits; rows with a null label or a text of over ``longest`` bytes are not among them. Of
@@ -175,7 +175,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, sample: int =
     known = labels.select("doc_id", "quality").where(train & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = common.documents_only(docs, "doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= longest).join(F.broadcast(chosen), "doc_id")
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).collect()
+    order = F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")
+    rows = rows.orderBy(*order).limit(sample)
+    # A window over no more rows than the sample has.
+    so_far = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.select("text", "quality", so_far.alias("so_far")).where(F.col("so_far") <= most_bytes).collect()
     known = np.array([min(1, max(0, r.quality)) for r in found], np.float32)
     if len(set(known.tolist())) < 2:
         return Constant(float(known.mean()) if len(known) else 0.5)

@@ -1,12 +1,13 @@
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sparkqueue.llm.language_id import LanguageFilters, fit_language_filters, grams, held_out, identify_languages
+from sparkqueue.llm.language_id import LanguageFilters, commonest_grams, fit_language_filters, grams, held_out, identify_languages
 from sparkqueue.llm.quality import STRIDE, SYMBOLS, WIDTH, ByteNet, Constant, chunks, fit_quality, score_quality, symbols
 
 BASE = "/root/testdata/sf0.01"
@@ -160,6 +161,17 @@ def test_quality_edge_cases(spark, awkward, no_rows, tables):
     assert fit_quality(awkward, nulls, F.lit(True)).value == 1.0
 
 
+def test_quality_learns_from_texts_of_bounded_size(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(ByteNet, "fit", lambda net, texts, labels: read.extend(texts))
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcdé "), 10).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    for most, rows in ((70 * 20, 20), (70 * 21 - 1, 20), (10_000, 50)):
+        read.clear()
+        fit_quality(docs, labels, F.lit(True), most_bytes=most)
+        assert len(read) == rows
+
+
 def test_held_out_fold_is_that_of_crc32(spark):
     got = spark.range(-3, 50).select(F.col("id").alias("doc_id")).withColumn("h", held_out(4, 2)).collect()
     assert spark.sql("select cast(null as long) as doc_id").select(held_out(4, 2)).first()[0] is True
@@ -217,6 +229,26 @@ def test_languages_learn_from_as_many_texts_as_asked_for(spark, monkeypatch):
     assert len(read) == len(set(read)) == 100
 
 
+@pytest.mark.parametrize("held", [1, 40, 1 << 22])
+def test_commonest_grams_against_counters(held, monkeypatch):
+    monkeypatch.setattr("sparkqueue.llm.language_id.HELD", held)
+    for texts in ([], [""], ["one two one two"], [f"text {i % 3} of {'many ' * i}" for i in range(9)]):
+        seen, of = Counter(), Counter()
+        for t in texts:
+            seen.update(grams([t])[0].tolist())
+            of.update(set(grams([t])[0].tolist()))
+        want = sorted((g for g in of if of[g] >= (2 if len(texts) >= 8 else 1)), key=lambda g: (-seen[g], g))
+        for most in (5, 1000):
+            assert commonest_grams(iter(texts), most).tolist() == want[:most]
+
+
+def test_labels_that_name_too_many_languages_are_refused(spark):
+    docs = spark.range(40).select(F.lit("some text").alias("text"), (F.col("id") % 20).cast("string").alias("lang"))
+    assert fit_language_filters(docs, most_languages=20).names == sorted(str(i) for i in range(20))
+    with pytest.raises(ValueError, match="more than 19 languages"):
+        fit_language_filters(docs, most_languages=19)
+
+
 def test_language_edge_cases(awkward, no_rows):
     filters = fit_language_filters(awkward)
     got = identify_languages(awkward, filters).toPandas()
